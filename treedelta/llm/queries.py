@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import jpeg, mixing, pieces, secrets, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op3_sentencepiece": pieces.op3,
     "op4_mix_sources": mixing.op4,
+    "op6_media_columns": jpeg.op6,
+    "op7_substring_dedup": substrings.op7,
+    "op8_token_files": tokenfiles.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {}
