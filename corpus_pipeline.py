@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treedelta.llm import mixing, secrets
+from treedelta.llm import mixing, neardup, pieces, quality, secrets
 from treedelta.llm.common import written
 
 STAGES = [
+    ("quality classifier", quality.stage),
+    ("MinHash near-dedup", neardup.stage),
     ("secret scans", secrets.stage),
     ("mixing sources to target weights", mixing.stage),
+    ("SentencePiece encoding and decoding", pieces.stage),
 ]
 
 #: Some stages can't be expressed in SQL.

@@ -61,6 +61,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[list, list]:
+    """Columns under names that clash with no others, and their way back; unused ones are pruned as usual."""
+    out = [df[f"`{c}`"].alias(f"td_kept_{i}") for i, c in enumerate(names)]
+    return out, [F.col(f"td_kept_{i}").alias(c) for i, c in enumerate(names)]
+
+
 def text_key(column: str):
     """128 bits that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import aside, table, written
 
 #: Runs of other than space and 0x09-0x0D are words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,14 +101,15 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     bounds = last.join(cuts, last["source"].eqNullSafe(cuts["source"]), "left").select(last["source"].alias("td_source"), F.col("cut").alias("td_cut"), F.col("top").alias("td_top"))
     bounds = written(bounds, "bounds")
 
-    inner = df.select(F.struct(*keep).alias("td_row"), F.col(source_col).alias("td_from"), words(F.col(text_col)).alias("size"), u.alias("td_u"))
+    out, back = aside(df, keep)
+    inner = df.select(*out, F.col(source_col).alias("td_from"), words(F.col(text_col)).alias("size"), u.alias("td_u"))
     rows = beside(beside(inner, known, "td_from"), bounds, "td_from")
     at = rank(F.col("td_u"))
     # Without a cut the whole boundary bin fits; without a boundary bin the source is used up.
     fits = F.when(F.col("td_cut").isNotNull(), at < F.col("td_cut")).when(F.col("td_top").isNotNull(), at <= F.col("td_top")).otherwise(F.col("td_missing") > 0)
     extra = (fits & (F.col("size") > 0)).cast("int")
     copies = F.when(F.col("size") > 0, F.least(F.col("td_certain") + extra, F.lit(MOST_COPIES))).otherwise(F.lit(0)).cast("long")
-    return rows.select(*[F.col("td_row").getField(c).alias(c) for c in keep], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(*back, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op4(spark, sf_dir) -> DataFrame:

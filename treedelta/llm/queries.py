@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import jpeg, mixing, pieces, secrets, substrings, tokenfiles
+from . import forest, jpeg, licenses, mixing, neardup, pieces, quality, secrets, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op2_quality": quality.op2,
     "op3_sentencepiece": pieces.op3,
     "op4_mix_sources": mixing.op4,
+    "op5_near_duplicates": neardup.op5,
     "op6_media_columns": jpeg.op6,
     "op7_substring_dedup": substrings.op7,
     "op8_token_files": tokenfiles.op8,
+    "op9_nearest_neighbours": forest.op9,
+    "op10_license_scans": licenses.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}

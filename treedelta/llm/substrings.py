@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, grams, int64, mix, small_batches, table
+from .common import aside, batch_word_hashes, grams, int64, mix, small_batches, table
 
 WINDOW = 50
 RUN = 25
@@ -188,7 +188,10 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keep = [c for c in df.columns if c not in {"n_words", "n_removed", "kept_text"}]
     starts = repeated_windows(df, id_col, text_col, cell_bits).groupBy("td_id", "td_text").agg(F.collect_list("td_start").alias("starts"))
-    rows = df.select(F.struct(*keep).alias("td_row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_text"))
+    out, back = aside(df, [c for c in keep if c != text_col])
+    at = keep.index(text_col)
+    back.insert(at, F.col("td_string").alias(text_col))
+    rows = df.select(*out, F.col(text_col).alias("td_string"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_text"))
     joined = rows.join(starts.hint("shuffle_hash"), (F.col("own_id") == F.col("td_id")) & (F.col("own_text") == F.col("td_text")), "left")
 
     @F.arrow_udf("n_words long, n_removed long, kept_text string")
@@ -206,8 +209,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(words).decode())
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept_text"])
 
-    done = joined.withColumn("td_out", cut(F.col("td_row").getField(text_col), F.col("starts")))
-    return done.select(*[F.col("td_row").getField(c).alias(c) for c in keep], "td_out.n_words", "td_out.n_removed", "td_out.kept_text")
+    done = joined.withColumn("td_out", cut(F.col("td_string"), F.col("starts")))
+    return done.select(*back, "td_out.n_words", "td_out.n_removed", "td_out.kept_text")
 
 
 def op7(spark, sf_dir) -> DataFrame:
