@@ -325,20 +325,13 @@ def padded(text: str | None) -> bytes:
     return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-@F.arrow_udf(T.BinaryType())
-def media_of(texts: pa.Array) -> pa.Array:
-    """Each text, padded, as baseline JPEG."""
-    return pa.array([write(padded(t)) for t in texts.to_pylist()], pa.binary())
-
-
 _READ = T.StructType([T.StructField("feature", T.StringType()), T.StructField("payload", T.BinaryType())])
+_STORED = T.StructType([T.StructField("media", T.BinaryType()), *_READ.fields])
 
 
-@F.arrow_udf(_READ)
-def read_media(media: pa.Array) -> pa.Array:
-    """The payload read back, and the feature: size and thumbnail hashes of each image.  Null where the bytes aren't baseline JPEG."""
+def _read_all(media: list[bytes | None]) -> list[pa.Array]:
     features, payloads = [], []
-    for m in media.to_pylist():
+    for m in media:
         try:
             images = read(m)
             features.append(",".join(f"{w}x{h}:{thumbnail_hash(t)}" for w, h, t in images))
@@ -346,18 +339,32 @@ def read_media(media: pa.Array) -> pa.Array:
         except (TypeError, ValueError, IndexError, KeyError, StopIteration, struct.error):
             features.append(None)
             payloads.append(None)
-    return pa.StructArray.from_arrays([pa.array(features, pa.string()), pa.array(payloads, pa.binary())], ["feature", "payload"])
+    return [pa.array(features, pa.string()), pa.array(payloads, pa.binary())]
+
+
+@F.arrow_udf(_READ)
+def read_media(media: pa.Array) -> pa.Array:
+    """The thumbnails' bytes, and the feature: size and thumbnail hashes of each image.  Null where the bytes aren't baseline JPEG."""
+    return pa.StructArray.from_arrays(_read_all(media.to_pylist()), ["feature", "payload"])
+
+
+@F.arrow_udf(_STORED)
+def store_text(texts: pa.Array) -> pa.Array:
+    """Each text, padded, as baseline JPEG, and what read_media finds in that; in one pass."""
+    media = [write(padded(t)) for t in texts.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(media, pa.binary()), *_read_all(media)], ["media", "feature", "payload"])
 
 
 def add_media(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input rows with `media` (baseline JPEG that holds the text) and `read_back` (feature, payload).
+    """The input rows with media (baseline JPEG that holds the text), feature and payload (read back from it).
 
-    A null text counts as empty and gives one image of padding.  Columns named media or read_back
-    are replaced, others kept; equal texts give equal values; an empty table gives an empty one.
+    A null text counts as empty and gives one image of padding.  Columns of the three names are
+    replaced, others kept; equal texts give equal values; an empty table gives an empty one.
     """
     small_batches(df.sparkSession)
-    rows = df.withColumn("media", media_of(F.col(text_col)))
-    return rows.withColumn("read_back", read_media(F.col("media")))
+    keep = [c for c in df.columns if c not in {"media", "feature", "payload"}]
+    stored = df.withColumn("td_stored", store_text(F.col(text_col)))
+    return stored.select(*keep, "td_stored.media", "td_stored.feature", "td_stored.payload")
 
 
 def _size(column: str) -> Column:
@@ -367,7 +374,6 @@ def _size(column: str) -> Column:
 def op6(spark, sf_dir) -> DataFrame:
     """Every document as JPEG and read back, as digests."""
     rows = add_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = rows.select("doc_id", "text", "media", "read_back.feature", "read_back.payload")
     return rows.select(
         "doc_id",
         F.coalesce(_size("text"), F.lit(0)).alias("n_bytes"),

@@ -76,16 +76,22 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """ids, array<int>; a null or empty text has none."""
+def _listed(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        ids = pieces(path).encode(texts.to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
-    return encode(text)
+def coded(text: Column, path: str) -> Column:
+    """(ids, decoded): array<int> and what the ids decode to, in one pass; a null or empty text has no ids and decodes to the empty text."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        own = pieces(path)
+        ids = own.encode(texts.to_pylist())
+        back = [own.decode(np.frombuffer(x, dtype="<i4").tolist()) if x else "" for x in ids]
+        return pa.StructArray.from_arrays([_listed(ids), pa.array(back, pa.string())], ["ids", "decoded"])
+
+    return both(text)
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -116,8 +122,9 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
     path = path or public_model()
     if not Path(path).exists():
         raise FileNotFoundError(path)
-    rows = df.withColumn("ids", encoded(F.col(text_col), path))
-    return rows.withColumn("decoded", decoded(F.col("ids"), path))
+    keep = [c for c in df.columns if c not in {"ids", "decoded"}]
+    rows = df.withColumn("td_coded", coded(F.col(text_col), path))
+    return rows.select(*keep, "td_coded.ids", "td_coded.decoded")
 
 
 def digests(rows: DataFrame) -> DataFrame:
