@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, batch_word_hashes, grams, int64, mix, small_batches, table
+from .common import aside, batch_word_hashes, grams, int64, mix, small_batches, table, word_hashes
 
 WINDOW = 50
 RUN = 25
@@ -54,6 +54,11 @@ def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, start, text
 
 
+def _second(words: np.ndarray) -> np.ndarray:
+    """Another hash of each window, from other hashes of its words."""
+    return grams(words * np.uint64(0xE7037ED1A0B428DB) ^ (words >> np.uint64(29)), WINDOW, seed=1)
+
+
 def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(64 - bits)
     return (mix(anchors) >> shift).astype(np.int64), (mix(anchors ^ _SECOND) >> shift).astype(np.int64)
@@ -127,7 +132,7 @@ def _sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
-    """(td_id, td_text, td_start): the windows of each text that also start in a text of a smaller id."""
+    """(td_id, td_text, td_start): the windows of each text that also start in a text of a smaller id; equal windows of one text by their first start."""
     small_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("td_id"), F.xxhash64(text_col).alias("td_text"), F.col(text_col).alias("text")).filter("td_id is not null and text is not null")
     sent = df.sparkSession.sparkContext.broadcast(_sketch(texts.select("text"), cell_bits))
@@ -145,8 +150,14 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hit &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
             kept = np.flatnonzero(hit[np.cumsum(new) - 1])
             first = int64(grams(words, WINDOW))
-            second = int64(grams(words * np.uint64(0xE7037ED1A0B428DB) ^ (words >> np.uint64(29)), WINDOW, seed=1))
+            second = int64(_second(words))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))])
+            # A window that a text holds several times is sent once, with its first start.
+            order = np.lexsort((kept, second[start[kept]], first[start[kept]], text[kept]))
+            sorted_ = kept[order]
+            again = np.zeros(len(kept), dtype=bool)
+            again[1:] = (text[sorted_[1:]] == text[sorted_[:-1]]) & (first[start[sorted_[1:]]] == first[start[sorted_[:-1]]]) & (second[start[sorted_[1:]]] == second[start[sorted_[:-1]]])
+            kept = sorted_[~again]
             for at in range(0, len(kept), 65536):
                 own = kept[at : at + 65536]
                 of = text[own]
@@ -162,17 +173,21 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     windows = texts.mapInArrow(emit, "h1 long, h2 long, td_id long, td_text long, td_start int")
-    # One exchange serves both the least ids and the windows that look them up.
+    # One exchange serves both the least ids and the windows that look them up: to be reused it has
+    # to carry the same columns, so the sums name those that only the windows need, too.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = windows.repartition(n, "h1", "h2")
-    least = dealt.groupBy("h1", "h2").agg(F.min("td_id").alias("least"), F.max("td_id").alias("most")).filter("least < most").select("h1", "h2", "least")
+    sums = dealt.groupBy("h1", "h2").agg(F.min("td_id").alias("least"), F.max("td_id").alias("most"), F.max("td_text").alias("any_text"), F.max("td_start").alias("any_start"))
+    least = sums.filter("least < most and any_text is not null and any_start is not null").select("h1", "h2", "least")
     return dealt.join(least.hint("shuffle_hash"), ["h1", "h2"]).filter("td_id > least").select("td_id", "td_text", "td_start")
 
 
-def _covered(starts: list[int], n: int) -> np.ndarray:
-    """Words of n that the windows at these starts cover."""
+def _covered(text: bytes, starts: np.ndarray, n: int) -> np.ndarray:
+    """Words of n that the windows at these starts, and the text's windows equal to them, cover."""
+    words = word_hashes(text)
+    first, second = grams(words, WINDOW), _second(words)
+    at = np.flatnonzero(np.isin(first, first[starts]) & np.isin(second, second[starts]))
     edge = np.zeros(n + 1, dtype=np.int32)
-    at = np.asarray(starts, dtype=np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
     return np.cumsum(edge[:n]) > 0
@@ -198,12 +213,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         sizes, removed, kept = [], [], []
         for text, found in zip(texts, lists, strict=True):
-            words = (text.as_py() or "").encode().split()
+            raw = (text.as_py() or "").encode()
+            words = raw.split()
             sizes.append(len(words))
             if found.values is None:
                 removed.append(0)
             else:
-                gone = _covered(found.values.to_numpy(), len(words))
+                gone = _covered(raw, found.values.to_numpy(), len(words))
                 removed.append(int(gone.sum()))
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             kept.append(b" ".join(words).decode())
