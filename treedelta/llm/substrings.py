@@ -176,7 +176,8 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One exchange serves both the least ids and the windows that look them up: to be reused it has
     # to carry the same columns, so the sums name those that only the windows need, too.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = windows.repartition(n, "h1", "h2")
+    whole = windows.filter("h1 is not null and h2 is not null and td_id is not null and td_text is not null")  # what the join would only ask of one side
+    dealt = whole.repartition(n, "h1", "h2")
     sums = dealt.groupBy("h1", "h2").agg(F.min("td_id").alias("least"), F.max("td_id").alias("most"), F.max("td_text").alias("any_text"), F.max("td_start").alias("any_start"))
     least = sums.filter("least < most and any_text is not null and any_start is not null").select("h1", "h2", "least")
     return dealt.join(least.hint("shuffle_hash"), ["h1", "h2"]).filter("td_id > least").select("td_id", "td_text", "td_start")
