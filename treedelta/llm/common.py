@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +175,85 @@ def grams(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def int64(values: np.ndarray) -> np.ndarray:
     """The same bits as signed values, for Spark's long."""
     return values.view(np.int64)
+
+
+# --- a count-min sketch of two rows, of which one bit per cell is left: two or more ---
+
+#: Cells are added up in blocks of this many bits.
+BLOCK_BITS = 18
+SKETCH_SCHEMA = "block int, once binary, more binary"
+_SECOND = np.uint64(0xA0761D6478BD642F)
+
+
+def cells(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each value in both rows."""
+    shift = np.uint64(64 - bits)
+    return (mix(values) >> shift).astype(np.int64), (mix(values ^ _SECOND) >> shift).astype(np.int64)
+
+
+def sketch_rows(held: list[list[np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """One partition's counts: in each block of both rows the cells seen once, and more often."""
+    block_bits = min(bits, BLOCK_BITS)
+    blocks = 1 << (bits - block_bits)
+    for row, parts in enumerate(held):
+        cell, n = np.unique(np.concatenate(parts), return_counts=True)
+        edges = np.searchsorted(cell, np.arange(blocks + 1) << block_bits)
+        full = np.flatnonzero(np.diff(edges))
+        inside = (cell & ((1 << block_bits) - 1)).astype("<u4")
+        pick = lambda a, b, which: inside[a:b][which[a:b]].tobytes()
+        lists = [[pick(edges[i], edges[i + 1], which) for i in full] for which in (n == 1, n > 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(full + row * blocks, pa.int32()), *[pa.array(x, pa.binary()) for x in lists]], names=["block", "once", "more"])
+
+
+def merged_sketch(parts: DataFrame, bits: int) -> list[np.ndarray]:
+    """The bits of cells with two or more counts over all partitions, for both rows; 2 ** bits / 8 bytes each."""
+    block_bits = min(bits, BLOCK_BITS)
+    blocks = 1 << (bits - block_bits)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << block_bits, dtype=np.uint8)
+        for batch in batches:
+            for once, more in zip(batch.column("once").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                at = np.frombuffer(once, dtype="<u4")
+                counts[at] = np.minimum(counts[at], 1) + 1
+                counts[np.frombuffer(more, dtype="<u4")] = 2
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())})
+
+    rows = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(2)]
+    width = (1 << block_bits) // 8
+    for found in parts.groupBy("block").applyInArrow(add, "block int, bits binary").toLocalIterator():
+        row, at = divmod(found["block"], blocks)
+        rows[row][at * width : (at + 1) * width] = np.frombuffer(found["bits"], dtype=np.uint8)
+    return rows
+
+
+def seen_twice(rows: list[np.ndarray], values: np.ndarray, bits: int) -> np.ndarray:
+    """The estimated count of each value is two or more; never false for a value that was counted twice."""
+    hit = np.ones(len(values), dtype=bool)
+    for row, at in zip(rows, cells(values, bits), strict=True):
+        hit &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
+class UnitTable:
+    """unit -> bytes in two generations: when the young one is full it becomes the old one, and what is still in use moves over.
+
+    make gives the bytes of a list of units; units beyond `long` characters aren't kept.
+    """
+
+    def __init__(self, make, most: int, long: int) -> None:
+        self.make, self.most, self.long = make, most, long
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, units: set[str]) -> dict[str, bytes]:
+        """A table that holds all of these units."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = [u for u in units if u not in self.young]
+        new = [u for u in missing if u not in self.old]
+        self.young.update((u, self.old[u]) for u in missing if u in self.old)
+        made = dict(zip(new, self.make(new), strict=True)) if new else {}
+        over = {u: x for u, x in made.items() if len(u) > self.long}
+        self.young.update((u, x) for u, x in made.items() if u not in over)
+        return {u: over[u] if u in over else self.young[u] for u in units} if over else self.young

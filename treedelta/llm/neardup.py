@@ -6,13 +6,13 @@ frequency, ln((1 + documents) / (1 + frequency)), where frequencies of all docum
 (shingle, level) that two texts share with a probability of their weighted Jaccard similarity; BANDS
 bands of ROWS samples make its buckets.
 
-Texts of equal words are one node.  In each bucket all nodes are compared with the bucket's least
-node by the weighted Jaccard similarity of their whole vectors, beside which the plain Jaccard
+Texts of equal words are one node.  In each bucket all nodes are compared with the bucket's hub
+by the weighted Jaccard similarity of their whole vectors, beside which the plain Jaccard
 similarity of the shingle sets is kept; pairs link if either is 0.8 or more, so that no pair that is
-near by its plain shingles is lost to weights.  Buckets that then still hold nodes of several
-classes go on: the pairs of different classes in them are compared too, but for those that the
-triangle inequality rules out (1 - similarity is a metric for both), so that no link between classes
-is lost within a bucket and no pair within a class is formed.
+near by its plain shingles is lost to weights.  Then the nodes that aren't in their hub's class are
+compared with all of the bucket's nodes of other classes, but for pairs that can't be near: two nodes
+share no more than what either has in common with any other node, and 1 - similarity is a metric.  So
+no link between classes is lost within a bucket, and no pair within a class is formed.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, batch_word_hashes, grams, int64, mix, small_batches, table, text_key, written
+from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, seen_twice, sketch_rows, small_batches, table, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 14
 SAMPLES = ROWS * BANDS
 IDF_BITS = 20
+#: log2 of the cells of the sketch that tells common shingles.
+CELL_BITS = 26
 _BLOCK = 4096
 #: Draws of the samples come from a fixed pool of so many triples, picked by a hash of shingle and sample.
 _POOL_BITS = 16
@@ -196,8 +198,50 @@ def components(edges: DataFrame, what: str = "classes") -> DataFrame:
         roots = new.select("node", "root")
 
 
-def near_duplicate_links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their buckets, and links (a, b, weighted, plain) that tie the nodes of each class together."""
+def _shares(one: DataFrame, idf) -> DataFrame:
+    """Of each node: total and common weight, and numbers of shingles and of common ones.
+
+    A shingle is common if it is estimated to occur in two or more of these nodes; estimates are never
+    too low, so two nodes share no more than the lesser of their common weights.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        size = 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                for into, at in zip(held, cells(np.unique(np.frombuffer(x, "<u4")).astype(np.uint64), CELL_BITS), strict=True):
+                    into.append(at)
+                size += len(held[0][-1])
+            if size > 4_000_000:
+                yield from sketch_rows(held, CELL_BITS)
+                held, size = [[], []], 0
+        if size:
+            yield from sketch_rows(held, CELL_BITS)
+
+    sent = one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), CELL_BITS))
+
+    @F.arrow_udf("total double, common double, keys double, common_keys double")
+    def shares(vectors: pa.Array) -> pa.Array:
+        out = []
+        for x in vectors.to_pylist():
+            keys, counts = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
+            weights, twice = _weights(keys, counts, idf.value).astype(np.float64), seen_twice(sent.value, keys.astype(np.uint64), CELL_BITS)
+            out.append((weights.sum(), weights[twice].sum(), len(keys), int(twice.sum())))
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.StructArray.from_arrays([pa.array(list(c), pa.float64()) for c in columns], ["total", "common", "keys", "common_keys"])
+
+    return one.select("node", shares("vector").alias("s")).select("node", "s.*")
+
+
+def _at_most(total_a, common_a, total_b, common_b):
+    """A bound of the similarity of two nodes from what they can share."""
+    least = F.least(common_a, common_b)
+    return least / (total_a + total_b - least)
+
+
+def near_duplicate_links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b, weighted, plain) that tie the nodes of each class together."""
     spark: SparkSession = df.sparkSession
     small_batches(spark)
     texts = df.select(text_key(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -205,35 +249,48 @@ def near_duplicate_links(df: DataFrame, text_col: str = "text", threshold: float
     vectors = written(_vectors(texts, idf), "vectors")
     # Copies bring the same rows; one of each is enough.
     buckets = written(vectors.select("node", F.explode("bands").alias("band")).distinct(), "buckets")
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub < most").select("band", "hub")
-    shared = written(buckets.join(hubs, "band"), "shared")
-    one = vectors.groupBy("node").agg(F.first("vector").alias("vector"))
-    wanted = shared.select("node").distinct()
-    one = written(one.join(wanted, "node", "left_semi"), "wanted")
-    stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = written(_similarities(stars, one, idf), "stars")
+    full = buckets.groupBy("band").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).filter("n1 < n2").select("band")
+    shared = buckets.join(full, "band", "left_semi")
+    one = vectors.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
+    one = written(one, "wanted")
+    # A bucket's hub is the node with the least share of its own, for most others are likest to it.
+    known = shared.join(_shares(one, idf), "node").withColumn("own", 1 - F.col("common") / F.col("total"))
+    placed = written(known, "shared")
+    hubs = placed.groupBy("band").agg(F.min(F.struct("own", "node", "total", "common", "keys", "common_keys")).alias("hub"))
     near = (F.col("weighted") >= threshold) | (F.col("plain") >= threshold)
+    slack = 1e-6
+    bound = lambda a, b: (_at_most(a("total"), a("common"), b("total"), b("common")) >= threshold - slack) | (_at_most(a("keys"), a("common_keys"), b("keys"), b("common_keys")) >= threshold - slack)
+    stars = placed.join(hubs, "band").filter(F.col("node") != F.col("hub.node"))
+    stars = stars.filter(bound(F.col, lambda c: F.col(f"hub.{c}"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    compared = written(_similarities(stars, one, idf), "stars")
     links = compared.filter(near)
-    # Second step: pairs of different classes that are left in one bucket.
-    known = components(links.select("a", "b"), "stars")
-    placed = shared.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band")
+    # Second step: nodes that aren't in the class of their bucket's hub, against all others of the bucket.
+    roots = components(links.select("a", "b"), "stars")
+    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hub_roots = hubs.select("band", F.col("hub.node").alias("hub")).join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    smallest = placed.groupBy("band").agg(F.min("total").alias("t0"), F.min("keys").alias("k0"))
+    rest = rooted.join(hub_roots, "band").join(smallest, "band").filter("node <> hub")
+    # No partner can have a larger bound than one of the bucket's least size that shares all that is common.
+    able = lambda t, c, t0: F.col(c) / (F.col(t) + F.greatest(F.col(t0) - F.col(c), F.lit(0.0))) >= threshold - slack
+    rest = rest.filter(able("total", "common", "t0") | able("keys", "common_keys", "k0"))
     to_hub = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "weighted", "plain")
-    rest = placed.join(open_, "band", "left_semi").join(to_hub, ["node", "hub"], "left")
-    # The hub itself has been compared with all others of its bucket.
-    rest = rest.filter("node <> hub").select("band", "node", "root", "weighted", "plain")
-    rest = written(rest, "open")
-    other = rest.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("weighted").alias("weighted_b"), F.col("plain").alias("plain_b"))
-    slack = 1 - threshold + 1e-9
-    possible = (F.abs(F.col("weighted") - F.col("weighted_b")) <= slack) | (F.abs(F.col("plain") - F.col("plain_b")) <= slack)
-    pairs = rest.withColumnRenamed("node", "a").join(other, "band").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & possible)
-    more = _similarities(pairs.select("a", "b").distinct(), one, idf).filter(near)
-    return vectors.select("node"), written(links.unionByName(more), "links")
+    rest = rest.join(to_hub, ["node", "hub"], "left").withColumn("stray", F.col("root") != F.col("hub_root"))
+    open_ = rest.filter("stray").select("band").distinct()
+    rest = written(rest.join(open_, "band", "left_semi").select("band", "node", "root", "stray", "weighted", "plain", "total", "common", "keys", "common_keys"), "open")
+    a, b = rest.filter("stray").alias("a"), rest.alias("b")
+    col = lambda side: lambda c: F.col(f"{side}.{c}")
+    # The triangle inequality, where both were compared with the hub.
+    far = lambda m: F.coalesce(F.abs(F.col(f"a.{m}") - F.col(f"b.{m}")) <= 1 - threshold + slack, F.lit(True))
+    possible = ((_at_most(*[col(s)(c) for s in "ab" for c in ("total", "common")]) >= threshold - slack) & far("weighted")) | ((_at_most(*[col(s)(c) for s in "ab" for c in ("keys", "common_keys")]) >= threshold - slack) & far("plain"))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible)
+    pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    more = _similarities(pairs, one, idf).filter(near)
+    return written(links.unionByName(more), "links")
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """Of each node: its least id, its class's root and least id, the node that stays in the class, and its links."""
-    _, links = near_duplicate_links(df, text_col, threshold)
+    links = near_duplicate_links(df, text_col, threshold)
     ids = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("node")).groupBy("node").agg(F.min("id").alias("id"))
     roots = components(links, "links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -5,8 +5,9 @@ feed.  So a marked text falls apart into chunks (marks, then other characters up
 line feed; or one line feed) that are segmented alone.  Each Python worker keeps a table of the
 chunks that it has met: a batch's new ones are segmented once by the library, and every chunk's ids
 are then joined back by position.  The table is kept beside the texts rather than shuffled to:
-joining by chunk would move each word of the corpus twice.  It holds TABLE_CHUNKS entries at most and
-starts anew when full; long chunks only last for their batch.
+joining by chunk would move each word of the corpus twice.  It holds two generations of TABLE_CHUNKS
+entries at most, of which the older goes when the younger is full; long chunks only last for their
+batch.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import UnitTable, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -40,25 +41,19 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross whitespace marks")
         self.mark = self.model.piece_to_id(MARK)
-        self.table: dict[str, bytes] = {}
+        self.table = UnitTable(self._segmented, TABLE_CHUNKS, LONG_CHUNK)
         byte = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else None for i, p in enumerate(pieces)]
         plain = lambda i, p: b"" if self.model.is_control(i) else byte[i] or p.replace(MARK, " ").encode()
         self.spelled = [None if self.model.is_unknown(i) else plain(i, p) for i, p in enumerate(pieces)]
 
-    def _segmented(self, chunks: list[str]) -> dict[str, bytes]:
+    def _segmented(self, chunks: list[str]) -> list[bytes]:
         # After a line feed the library sees no start of text; the mark and the line feed before it go.
-        ids = self.model.encode(["\n" + c for c in chunks], num_threads=1)
-        return {c: np.array(x[2:], dtype="<i4").tobytes() for c, x in zip(chunks, ids, strict=True)}
+        return [np.array(x[2:], dtype="<i4").tobytes() for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = set().union(*split)
-        if len(self.table) > TABLE_CHUNKS:
-            self.table = {}
-        new = self._segmented([c for c in distinct if c not in self.table])
-        self.table.update((c, x) for c, x in new.items() if len(c) <= LONG_CHUNK)
-        known = self.table if len(new) == 0 or all(len(c) <= LONG_CHUNK for c in new) else {**new, **{c: self.table[c] for c in distinct if c in self.table}}
+        known = self.table.of(set().union(*split))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
     def decode(self, ids: list[int]) -> str:

@@ -20,15 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, batch_word_hashes, grams, int64, mix, small_batches, table, word_hashes
+from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, seen_twice, sketch_rows, small_batches, table, word_hashes
 
 WINDOW = 50
 RUN = 25
 #: log2 of the cells in a row of the sketch; 16 MB a row are broadcast, whatever the input.
 CELL_BITS = 27
-#: Cells are added up in blocks of this many bits.
-BLOCK_BITS = 18
-_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def _anchors(words: np.ndarray) -> np.ndarray:
@@ -59,11 +56,6 @@ def _second(words: np.ndarray) -> np.ndarray:
     return grams(words * np.uint64(0xE7037ED1A0B428DB) ^ (words >> np.uint64(29)), WINDOW, seed=1)
 
 
-def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - bits)
-    return (mix(anchors) >> shift).astype(np.int64), (mix(anchors ^ _SECOND) >> shift).astype(np.int64)
-
-
 def _runs(values: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Where a value or a text begins; a run of one anchor counts once."""
     new = np.ones(len(values), dtype=bool)
@@ -72,63 +64,26 @@ def _runs(values: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def _sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
-    """The merged sketch: for both rows the bits of cells with two or more counts."""
-    blocks = 1 << max(0, bits - BLOCK_BITS)
-    block_bits = min(bits, BLOCK_BITS)
+    """The merged sketch of the anchors of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for row, cells in enumerate(held):
-                cell, n = np.unique(np.concatenate(cells), return_counts=True)
-                twice = n > 1
-                edges = np.searchsorted(cell, np.arange(blocks + 1) << block_bits)
-                full = np.flatnonzero(np.diff(edges))
-                inside = (cell & ((1 << block_bits) - 1)).astype("<u4")
-                piece = lambda a, b: inside[a:b][~twice[a:b]].tobytes()
-                more = lambda a, b: inside[a:b][twice[a:b]].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full + row * blocks, pa.int32()),
-                        pa.array([piece(edges[i], edges[i + 1]) for i in full], pa.binary()),
-                        pa.array([more(edges[i], edges[i + 1]) for i in full], pa.binary()),
-                    ],
-                    names=["block", "once", "more"],
-                )
-
         for batch in batches:
             words, start, text = _windows(batch.column(0))
             if len(start) == 0:
                 continue
             anchors = _anchors(words)[start]
-            for into, cells in zip(held, _cells(anchors[_runs(anchors, text)], bits), strict=True):
-                into.append(cells)
+            for into, at in zip(held, cells(anchors[_runs(anchors, text)], bits), strict=True):
+                into.append(at)
             size += len(held[0][-1])
             if size > 4_000_000:  # what is held stays below 64 MB
-                yield from out()
+                yield from sketch_rows(held, bits)
                 held, size = [[], []], 0
         if size:
-            yield from out()
+            yield from sketch_rows(held, bits)
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << block_bits, dtype=np.uint8)
-        for batch in batches:
-            for once, more in zip(batch.column("once").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                cells = np.frombuffer(once, dtype="<u4")
-                counts[cells] = np.minimum(counts[cells], 1) + 1
-                counts[np.frombuffer(more, dtype="<u4")] = 2
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(counts > 1).tobytes()], pa.binary())})
-
-    parts = texts.mapInArrow(count, "block int, once binary, more binary")
-    merged = parts.groupBy("block").applyInArrow(add, "block int, bits binary")
-    rows = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(2)]
-    width = (1 << block_bits) // 8
-    for found in merged.toLocalIterator():
-        row, at = divmod(found["block"], blocks)
-        rows[row][at * width : (at + 1) * width] = np.frombuffer(found["bits"], dtype=np.uint8)
-    return rows
+    return merged_sketch(texts.mapInArrow(count, SKETCH_SCHEMA), bits)
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
@@ -145,9 +100,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             anchors = _anchors(words)[start]
             new = _runs(anchors, text)
-            hit = np.ones(int(new.sum()), dtype=bool)
-            for row, cells in zip(rows, _cells(anchors[new], cell_bits), strict=True):
-                hit &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+            hit = seen_twice(rows, anchors[new], cell_bits)
             kept = np.flatnonzero(hit[np.cumsum(new) - 1])
             first = int64(grams(words, WINDOW))
             second = int64(_second(words))

@@ -10,6 +10,7 @@ A task writes under names of its own attempt and only what successful tasks repo
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -23,45 +24,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, table
+from .common import UnitTable, fresh_path, small_batches, table
 
 SEQUENCE, BATCH = 1024, 128
-TABLE_WORDS = 400_000
+TABLE_WORDS = 500_000
 LONG_WORD = 200
 #: Only white space that every library takes for such; other kinds stay within a word.
 WORD = re.compile(r"[^ \t-\r]+")
-#: Rows of the index in one batch.
+#: Fixed value: the pattern of the tokenizer, and the same for texts of ASCII and Latin-1 in lower case.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+#: What sends a text the long way: other characters, and what may be a special token.
+OTHER = re.compile(r"[^\t-\r -~ª²³µ¹º¼-¾À-ÿ]|<\|")
 INDEX_ROWS = 8192
 
 
 class Words:
-    """A tokenizer with a table of the words that it has met.
+    """A tokenizer with tables of the units that it has met.
 
     White space is dropped before the vocabulary's merges, and neither the normaliser nor the
-    pattern looks across it, so the ids of a text are those of its words.
+    pattern looks across it, so the ids of a text are those of its words.  In texts of ASCII and
+    Latin-1 (all but rare documents here) the pattern is applied to the lower-case text, and a unit
+    is one of its matches; new units are joined by spaces and merged in one call by the same model
+    behind a plainer pre-tokenizer, and taken apart after the ids that end a word.  In other texts
+    a unit is a word, and the whole tokenizer encodes it.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         self.wide = self.own.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.type = "<u4" if self.wide else "<u2"
-        self.table: dict[str, bytes] = {}
+        self.plain = Tokenizer(self.own.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The short way is for the one pattern that UNIT restates; other tokenizers go by words.
+        steps = json.loads(self.own.to_str())["pre_tokenizer"].get("pretokenizers", [])
+        self.short = any(x.get("pattern") == {"Regex": PATTERN} for x in steps)
+        self.units, self.words = UnitTable(self._merged, TABLE_WORDS, LONG_WORD), UnitTable(self._whole, TABLE_WORDS, LONG_WORD)
+
+    def _merged(self, units: list[str]) -> list[bytes]:
+        ids = np.array(self.plain.encode(" ".join(units), add_special_tokens=False).ids, dtype=self.type)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.own.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian."""
-        split = [WORD.findall(t) if t else [] for t in texts]
-        distinct = set().union(*split)
-        if len(self.table) > TABLE_WORDS:
-            self.table = {}
-        missing = [w for w in distinct if w not in self.table]
-        new = {w: np.array(e.ids, dtype=self.type).tobytes() for w, e in zip(missing, self.own.encode_batch(missing, add_special_tokens=False), strict=True)} if missing else {}
-        long = {w: x for w, x in new.items() if len(w) > LONG_WORD}
-        self.table.update((w, x) for w, x in new.items() if w not in long)
-        if not long:
-            return [b"".join(map(self.table.__getitem__, words)) for words in split]
-        return [b"".join([long[w] if len(w) > LONG_WORD else self.table[w] for w in words]) for words in split]
+        easy = [self.short and t is not None and OTHER.search(t) is None for t in texts]
+        parts = [UNIT.findall(t.lower()) if e else WORD.findall(t or "") for t, e in zip(texts, easy, strict=True)]
+        tables = [(table_, table_.of(set().union(*[p for p, e in zip(parts, easy, strict=True) if e == kind]))) for table_, kind in ((self.units, True), (self.words, False))]
+        return [b"".join(map(tables[0 if e else 1][1].__getitem__, p)) for p, e in zip(parts, easy, strict=True)]
 
 
 @cache
