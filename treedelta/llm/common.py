@@ -68,6 +68,11 @@ def aside(df: DataFrame, names: list[str]) -> tuple[list, list]:
     return out, [F.col(f"td_kept_{i}").alias(c) for i, c in enumerate(names)]
 
 
+def named(names: list[str]) -> list:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def text_key(column: str):
     """128 bits that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))

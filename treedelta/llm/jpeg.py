@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import named, small_batches, table
 
 UNIT = 576
 #: A side of an image has 8,191 blocks at most.
@@ -364,7 +364,7 @@ def add_media(df: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in {"media", "feature", "payload"}]
     stored = df.withColumn("td_stored", store_text(F.col(text_col)))
-    return stored.select(*keep, "td_stored.media", "td_stored.feature", "td_stored.payload")
+    return stored.select(*named(keep), "td_stored.media", "td_stored.feature", "td_stored.payload")
 
 
 def _size(column: str) -> Column:

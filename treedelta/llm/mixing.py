@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, table, written
+from .common import aside, named, table, written
 
 #: Runs of other than space and 0x09-0x0D are words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,4 +123,4 @@ def stage(spark, docs, sf_dir) -> DataFrame:
     """Repeat each document as often as the mix takes it; documents that it doesn't take go."""
     del spark, sf_dir
     mixed = mix_sources(docs)
-    return mixed.filter("copies > 0").withColumn("td_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed.filter("copies > 0").withColumn("td_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*named(docs.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, seen_twice, sketch_rows, small_batches, table, text_key, written
+from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, named, seen_twice, sketch_rows, small_batches, table, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -328,7 +328,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     first = _classes(df, id_col, text_col, threshold).select(F.col("class_id").alias("td_class"), "td_first").distinct()
     rows = df.withColumn("td_own", text_key(text_col))
     kept = rows.join(first, F.col(id_col).eqNullSafe(F.col("td_class")) & (F.col("td_own") == F.col("td_first")), "left_semi")
-    return kept.dropDuplicates([id_col, "td_own"]).select(*df.columns)
+    return kept.dropDuplicates([id_col, "td_own"]).select(*named(df.columns))
 
 
 def op5(spark, sf_dir) -> DataFrame:

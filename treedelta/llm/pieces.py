@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UnitTable, small_batches, table
+from .common import UnitTable, named, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -119,7 +119,7 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
         raise FileNotFoundError(path)
     keep = [c for c in df.columns if c not in {"ids", "decoded"}]
     rows = df.withColumn("td_coded", coded(F.col(text_col), path))
-    return rows.select(*keep, "td_coded.ids", "td_coded.decoded")
+    return rows.select(*named(keep), "td_coded.ids", "td_coded.decoded")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -140,4 +140,4 @@ def op3(spark, sf_dir) -> DataFrame:
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The ids of each document; the text goes."""
     del spark, sf_dir
-    return encode_documents(docs).select(*[c for c in docs.columns if c not in {"text", "ids"}], "ids")
+    return encode_documents(docs).select(*named([c for c in docs.columns if c not in {"text", "ids"}]), "ids")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import named, small_batches, table
 
 MAX_LABELLED, MAX_POOL = 6_000, 6_000
 ROUNDS, PER_ROUND = 5, 0.05
@@ -236,7 +236,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.StructArray.from_arrays([pa.array(p) for p in model.score(a, b)], ["p_text", "p_meta", "quality"])
 
     scored = base.withColumn("td_scores", scores(*_columns(df, text_col)))
-    return scored.select(*base.columns, "td_scores.p_text", "td_scores.p_meta", "td_scores.quality", (F.col("td_scores.quality") >= KEEP_FROM).alias("is_good"))
+    return scored.select(*named(base.columns), "td_scores.p_text", "td_scores.p_meta", "td_scores.quality", (F.col("td_scores.quality") >= KEEP_FROM).alias("is_good"))
 
 
 def op2(spark, sf_dir) -> DataFrame:
@@ -246,4 +246,4 @@ def op2(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("is_good").select(*docs.columns)
+    return classify(docs, table(spark, sf_dir, "labels")).filter("is_good").select(*named(docs.columns))

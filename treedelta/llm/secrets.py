@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, table
 
 #: The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,4 +192,4 @@ def op1(spark, sf_dir) -> DataFrame:
 def stage(spark, docs, sf_dir) -> DataFrame:
     """Replace the secrets of each document by a mark; no document goes."""
     del spark, sf_dir
-    return redact(scan_secrets(docs)).select(*docs.columns)
+    return redact(scan_secrets(docs)).select(*named(docs.columns))
