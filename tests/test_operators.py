@@ -212,3 +212,27 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sql_functions(spark):
+    from treedelta.sql import register
+
+    register(spark)
+    spark.createDataFrame([(1, "a\nb", "a\nc", '{"x": 1}', '{"x": 2}')], "id int, o string, n string, j string, k string").createOrReplaceTempView("td_pairs")
+    assert [tuple(r) for r in spark.sql("SELECT d.* FROM td_pairs, LATERAL diff_lines(o, n) d").collect()] == [(0, "Update", "b", "c")]
+    assert [r.label for r in spark.sql("SELECT d.label FROM td_pairs, LATERAL diff_json(j, k) d").collect()] == ["x"]
+    assert spark.sql("SELECT count(*) AS n FROM td_pairs, LATERAL parse_tree(j, 'data') d").first().n == 2
+    assert spark.sql("SELECT jaccard_tokens('a b', 'b c') AS s").first().s == pytest.approx(1 / 3)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from treedelta.cli import load_config, main
+
+    (tmp_path / "treedelta.toml").write_text('format = "llm"')
+    assert load_config(str(tmp_path)) == {"format": "llm"}
+    for d, v in (("a", 1), ("b", 2)):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "c.json").write_text(json.dumps({"port": v}))
+    assert main([str(tmp_path / "a"), str(tmp_path / "b"), "--llm"]) == 0
+    assert "~ leaf port < object root 1 -> 2" in capsys.readouterr().out
+    assert main(["languages"]) == 0 and main([str(tmp_path / "a"), str(tmp_path / "a" / "c.json")]) == 1
