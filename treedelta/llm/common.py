@@ -186,6 +186,8 @@ def int64(values: np.ndarray) -> np.ndarray:
 
 #: Cells are added up in blocks of this many bits.
 BLOCK_BITS = 18
+#: Cells that a partition holds before it sends what it has counted; below 32 MB.
+FLUSH_CELLS = 500_000
 SKETCH_SCHEMA = "block int, once binary, more binary"
 _SECOND = np.uint64(0xA0761D6478BD642F)
 

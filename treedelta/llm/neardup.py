@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, named, seen_twice, sketch_rows, small_batches, table, text_key, written
+from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, named, seen_twice, sketch_rows, small_batches, table, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,7 +37,7 @@ _BLOCK = 4096
 #: Draws of the samples come from a fixed pool of so many triples, picked by a hash of shingle and sample.
 _POOL_BITS = 16
 #: Shingles of one text whose samples are drawn at a time.
-_AT_ONCE = 8192
+_AT_ONCE = 4096
 
 
 def _pool() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def _shares(one: DataFrame, idf) -> DataFrame:
                 for into, at in zip(held, cells(np.unique(np.frombuffer(x, "<u4")).astype(np.uint64), CELL_BITS), strict=True):
                     into.append(at)
                 size += len(held[0][-1])
-            if size > 4_000_000:
+            if size > FLUSH_CELLS:
                 yield from sketch_rows(held, CELL_BITS)
                 held, size = [[], []], 0
         if size:

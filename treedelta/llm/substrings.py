@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, seen_twice, sketch_rows, small_batches, table, word_hashes
+from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, seen_twice, sketch_rows, small_batches, table, word_hashes
 
 WINDOW = 50
 RUN = 25
@@ -77,7 +77,7 @@ def _sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
             for into, at in zip(held, cells(anchors[_runs(anchors, text)], bits), strict=True):
                 into.append(at)
             size += len(held[0][-1])
-            if size > 4_000_000:  # what is held stays below 64 MB
+            if size > FLUSH_CELLS:
                 yield from sketch_rows(held, bits)
                 held, size = [[], []], 0
         if size:
