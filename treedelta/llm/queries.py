@@ -17,4 +17,15 @@ QUERIES = {
     "op10_license_scans": licenses.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+s AS (SELECT g.doc_id, list(g.i) AS starts FROM g JOIN f ON g.k = f.k WHERE g.doc_id > f.first GROUP BY g.doc_id),
+u AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda x: range(x, x + 50)))) AS gone FROM s),
+e AS (SELECT d.doc_id, d.w, coalesce(u.gone, []) AS gone FROM d LEFT JOIN u ON d.doc_id = u.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+ sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM e""",
+}
