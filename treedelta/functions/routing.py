@@ -29,19 +29,14 @@ def is_binary_extension(ext: Column) -> Column:
 
 def tier(path: Column) -> Column:
     """0 binary, 1 raw, 2 prose, 3 markup, 4 data, 5 code; null for a null path."""
-    ext, low = extension(path), F.lower(path)
-    ends = lambda names: F.lit(False) if not names else _any([low.endswith(n) for n in names])
-    found = (
-        F.when(is_binary_extension(ext), BINARY)
-        .when(ext.isin(DATA_EXTENSIONS), DATA)
-        .when((ext == "env") | ends([".env", ".env.local"]), DATA)
-        .when(ext.isin(MARKUP_EXTENSIONS), MARKUP)
-        .when(ext.isin(RAW_EXTENSIONS), RAW)
-        .when(ext.isin(PROSE_EXTENSIONS) | ends(PROSE_NAMES), PROSE)
-        .when(ext.isin(CODE_EXTENSIONS), CODE)
-        .otherwise(RAW)
-    )
-    return F.when(path.isNotNull(), found).cast("tinyint")
+    groups = ((BINARY, BINARY_EXTENSIONS), (DATA, [*DATA_EXTENSIONS, "env"]), (MARKUP, MARKUP_EXTENSIONS), (RAW, RAW_EXTENSIONS), (PROSE, PROSE_EXTENSIONS), (CODE, CODE_EXTENSIONS))
+    known = F.create_map(*[F.lit(x) for kind, names in groups for e in names for x in (e, kind)])
+    low = F.lower(path)
+    # Names that end in one of these count unless an earlier group has the extension.
+    found = F.try_element_at(known, F.substring_index(low, ".", -1))
+    named = F.when(_any([low.endswith(x) for x in (".env", ".env.local")]), DATA).when(_any([low.endswith(x) for x in PROSE_NAMES]), PROSE).otherwise(RAW)
+    late = F.when((found == CODE) & _any([low.endswith(x) for x in PROSE_NAMES]), PROSE).otherwise(found)
+    return F.when(path.isNotNull(), F.coalesce(late, named)).cast("tinyint")
 
 
 def _any(conditions: list[Column]) -> Column:
