@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import humanize_kind, nearest_named, preview, subject
+from ..plans.barrier import apart
 
 
 def drop_redundant_updates(actions: DataFrame, file_col: str = "file_path") -> DataFrame:
@@ -18,12 +19,15 @@ def drop_redundant_updates(actions: DataFrame, file_col: str = "file_path") -> D
     return actions.withColumn("td_at", F.row_number().over(w)).filter("td_at = 1").drop("td_at")
 
 
-def description() -> Column:
-    """The sentence of one action."""
-    bare = humanize_kind(F.col("node.kind"))
-    what = subject(bare, F.col("node.label"), F.col("node.value"))
-    near = nearest_named(F.col("context"))
-    scope = F.concat(humanize_kind(near["kind"]), F.lit(" `"), near["label"], F.lit("`"))
+def _scope(near: Column) -> Column:
+    return F.concat(humanize_kind(near["kind"]), F.lit(" `"), near["label"], F.lit("`"))
+
+
+def description(bare: Column | None = None, what: Column | None = None, scope: Column | None = None) -> Column:
+    """The sentence of one action; its parts are made here unless they are given."""
+    bare = humanize_kind(F.col("node.kind")) if bare is None else bare
+    what = subject(bare, F.col("node.label"), F.col("node.value")) if what is None else what
+    scope = _scope(nearest_named(F.col("context"))) if scope is None else scope
     within = F.coalesce(F.concat(F.lit(" in "), scope), F.lit(""))
     out_of = F.coalesce(F.concat(F.lit(" from "), scope), F.lit(""))
     quoted = lambda c: F.concat(F.lit("`"), F.coalesce(c, F.lit("")), F.lit("`"))
@@ -50,4 +54,6 @@ def description() -> Column:
 
 def narrate(actions: DataFrame, file_col: str = "file_path") -> DataFrame:
     """The actions that are left without redundant updates, with their description."""
-    return drop_redundant_updates(actions, file_col).withColumn("description", description())
+    rows = apart(drop_redundant_updates(actions, file_col), {"td_bare": humanize_kind(F.col("node.kind")), "td_near": nearest_named(F.col("context"))})
+    rows = apart(rows, {"td_what": subject(F.col("td_bare"), F.col("node.label"), F.col("node.value")), "td_scope": _scope(F.col("td_near"))})
+    return rows.withColumn("description", description(*[F.col(c) for c in ("td_bare", "td_what", "td_scope")])).drop("td_bare", "td_near", "td_what", "td_scope")
