@@ -53,7 +53,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
     path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
