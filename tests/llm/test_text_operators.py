@@ -81,6 +81,15 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert sum("random" in found[i] for i in range(40, 240)) <= 6
 
 
+def test_random_values_behind_names_are_found_and_redacted(spark):
+    key, pad = "wJalrXUtnFEMIK7MDENGbPxRfiCYq3ZsT0uLh9vA", "q7Zt3LmX0vRkW9yBdJ5sHf2cPnGu8aTe1QxYiK4="
+    lines = [(f"AWS_SECRET_ACCESS_KEY={key}", key), (f"PRIVATE_KEY={pad}", pad), (f"https://x.org/f?sv=1&sig={pad}&se=2", pad), (f"a={key}=b", key), (f"x=={pad}", pad)]
+    out = secrets.redact(secrets.scan_secrets(docs(spark, [(i, t, None, None) for i, (t, _) in enumerate(lines)]))).orderBy("doc_id").collect()
+    for r, (t, value) in zip(out, lines, strict=True):
+        assert ("random", t.index(value), t.index(value) + len(value)) in [(s.kind, s.start, s.end) for s in r.secrets]
+        assert value not in r.text
+
+
 def test_secrets_edges_and_redaction(spark):
     rows = docs(spark, EDGE)
     assert secrets.scan_secrets(rows.limit(0)).count() == 0

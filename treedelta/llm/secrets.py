@@ -1,7 +1,7 @@
 r"""Secret scans: base patterns and a randomness test battery, in DataFrame operations only.
 
 Three patterns give the base spans.  The battery looks at every other run of 20 or more characters
-of [A-Za-z0-9+/_=-] and infers its encoding from the characters in it.  Three tests ask whether the
+of [A-Za-z0-9+/_-], with up to two '=' of padding at its end, and infers its encoding from the characters in it.  Three tests ask whether the
 token is a uniform random string over the encoding's alphabet: chi-squared uniformity of the
 characters, runs above and below the alphabet's middle, and lag-one serial correlation.  Fisher's
 method joins their p-values.  The tokens of all texts are then sorted out by the Benjamini-Hochberg
@@ -25,7 +25,8 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED = 12
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' counts as padding where no token follows it; behind a name it separates the name from its value.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Alphabets in their usual order, the narrowest first.
 ALPHABETS = {
     "hex": "0123456789abcdef",
