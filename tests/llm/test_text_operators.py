@@ -90,6 +90,18 @@ def test_random_values_behind_names_are_found_and_redacted(spark):
         assert value not in r.text
 
 
+def test_upper_case_hex_and_base32_keys_of_usual_lengths_are_found(spark):
+    rng = np.random.default_rng(4)
+    keys = [(name, n, "".join(rng.choice(list(secrets.ALPHABETS[name]), n))) for name, n in [("HEX", 20), ("HEX", 24), ("HEX", 32), ("base32", 20), ("base32", 22)] for _ in range(10)]
+    words = ["".join(rng.choice(["THE", "ING", "ER", "TION", "AND", "STATE"], 6))[:22].ljust(20, "E") for _ in range(200)]
+    rows = [(i, f"see {t} here", None, None) for i, t in enumerate([t for _, _, t in keys] + words)]
+    found = {r.doc_id: any(s.kind == "random" for s in r.secrets) for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    for kind in {(name, n) for name, n, _ in keys}:
+        assert sum(found[i] for i, k in enumerate(keys) if k[:2] == kind) >= 8
+    # In base32 a text of 20 letters is near the least that the tests can tell.
+    assert sum(found[i] for i in range(len(keys), len(rows))) <= len(words) // 10
+
+
 def test_secrets_edges_and_redaction(spark):
     rows = docs(spark, EDGE)
     assert secrets.scan_secrets(rows.limit(0)).count() == 0

@@ -7,8 +7,7 @@ characters, runs above and below the alphabet's middle, and lag-one serial corre
 method joins their p-values.  The tokens of all texts are then sorted out by the Benjamini-Hochberg
 rule within each pair of encoding and length class: those for which randomness is rejected are
 words, names or paths; at most the stated share of these rejections hits random strings.  What is
-left is a secret, if the token is long enough for the battery to have told text in its encoding
-from random strings at all (MIN_LENGTH).
+left is a secret, whatever its length: the rule alone decides.
 """
 
 from __future__ import annotations
@@ -38,9 +37,6 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Characters from which text's excess in the chi-squared statistic, (n - 1)(0.065 A - 1), is three
-#: standard deviations sqrt(2 (A - 1)) of it or more; 20 at least.
-MIN_LENGTH = {name: max(20, 1 + round(3 * (2 * (len(a) - 1)) ** 0.5 / max(0.065 * len(a) - 1, 0.45))) for name, a in ALPHABETS.items()}
 #: Share of wrong rejections of randomness that is allowed.
 FDR = 0.05
 #: p-values are counted by steps of 1/20 of -ln p, up to 40.
@@ -116,7 +112,6 @@ def _scanned(df: DataFrame, text_col: str) -> DataFrame:
     base = F.array_sort(F.concat(assign, _found(text, ACCESS, "access"), _found(text, HEX, "hex")))
 
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
-    least = F.create_map(*[F.lit(x) for pair in MIN_LENGTH.items() for x in pair])
 
     def named(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.rtrim(s["token"], F.lit("=")).alias("body"), _encoding(s["token"]).alias("code"))
@@ -127,8 +122,8 @@ def _scanned(df: DataFrame, text_col: str) -> DataFrame:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), cell.alias("cell"), F.floor(p * P_STEPS).cast("int").alias("bin"))
 
     tokens = F.transform(_found(text, TOKEN, "random"), named)
-    long_enough = F.filter(tokens, lambda s: s["code"].isNotNull() & (F.length(s["body"]) >= F.element_at(least, s["code"])))
-    return df.withColumn("td_base", base).withColumn("td_more", F.transform(long_enough, tested))
+    encoded = F.filter(tokens, lambda s: s["code"].isNotNull())
+    return df.withColumn("td_base", base).withColumn("td_more", F.transform(encoded, tested))
 
 
 def _rejected_from(scanned: DataFrame) -> DataFrame:
