@@ -293,6 +293,14 @@ def test_licenses(spark, texts):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0 and licenses.scan_licenses(docs(spark, EDGE)).filter("size(licenses) = 0").count() == len(EDGE)
 
 
+@pytest.mark.parametrize("name", ["MIT/notice", "Apache-2.0/notice", "GPL-3.0/notice", "CC-BY-4.0/notice"])
+def test_adjacent_repeated_notices_are_all_found(name):
+    line = licenses.TEMPLATES[name]
+    for n in (2, 4, 30):
+        found = licenses.matches("\n".join([line] * n), licenses.Index(licenses.TEMPLATES))
+        assert [(m[0], m[2]) for m in found] == [(name, k * (len(line) + 1)) for k in range(n)]
+
+
 def test_winnowing_finds_every_run_of_five_words():
     index = licenses.Index({"t": " ".join(f"w{i}" for i in range(40))})
     for i in range(36):

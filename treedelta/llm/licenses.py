@@ -10,6 +10,7 @@ reported is the share of the template's words that the alignment matches and the
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from functools import cache
 
@@ -104,30 +105,89 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     A match counts 2, a mismatch and a gap cost 1; of equal scores the earliest end counts.
     """
     width = high - low + 1
+    lanes = np.arange(width)
     score, count, start = np.zeros(width + 1, np.int64), np.zeros(width + 1, np.int64), np.zeros(width + 1, np.int64)
     best = (0, 0, 0, 0)
-    for i, word in enumerate(template.tolist()):
-        new, new_count, new_start = np.zeros_like(score), np.zeros_like(count), np.zeros_like(start)
-        for d in range(width):
-            j = i + low + d
-            if j < 0 or j >= len(text):
-                continue
-            same = int(text[j]) == word
-            # The cell of (i - 1, j - 1) is on the same diagonal, (i - 1, j) on the next, (i, j - 1) on the one before.
-            options = [(int(score[d]) + (2 if same else -1), int(count[d]) + same, int(start[d]) if score[d] > 0 else j)]
-            if score[d + 1] > 1:
-                options.append((int(score[d + 1]) - 1, int(count[d + 1]), int(start[d + 1])))
-            if d and new[d - 1] > 1:
-                options.append((int(new[d - 1]) - 1, int(new_count[d - 1]), int(new_start[d - 1])))
-            top = max(options, key=lambda o: o[0])
-            if top[0] > 0:
-                new[d], new_count[d], new_start[d] = top
-                if top[0] > best[0]:
-                    best = (top[0], top[1], top[2], j + 1)
-        score, count, start = new, new_count, new_start
+    for i, word in enumerate(template):
+        j = lanes + (i + low)
+        inside = (j >= 0) & (j < len(text))
+        if not inside.any():
+            if i + low >= len(text):
+                break
+            continue
+        same = inside & (text[np.clip(j, 0, len(text) - 1)] == word)
+        # The cell of (i - 1, j - 1) is on the same diagonal, (i - 1, j) on the next, (i, j - 1) on the one before.
+        own = score[:-1] + np.where(same, 2, -1)
+        above = score[1:] - 1
+        up = above > own
+        value = np.where(inside, np.maximum(np.where(up, above, own), 0), 0)
+        # Steps along the text cost 1 each, so the best source of a cell is the last one that leads value + lane.
+        led = np.maximum.accumulate(value + lanes)
+        source = np.maximum.accumulate(np.where(value + lanes == led, lanes, 0))
+        total = np.where(inside, led - lanes, 0)
+        live = total > 0
+        counts = np.where(up, count[1:], count[:-1] + same)[source]
+        starts = np.where(up, start[1:], np.where(score[:-1] > 0, start[:-1], j))[source]
+        score[:-1], count[:-1], start[:-1] = np.where(live, total, 0), np.where(live, counts, 0), np.where(live, starts, 0)
+        top = int(total.argmax())
+        if total[top] > best[0]:
+            best = (int(total[top]), int(counts[top]), int(starts[top]), int(j[top]) + 1)
     return best[1], best[2], best[3]
 
 
+def _reaches(template: np.ndarray, text: np.ndarray, low: int, high: int, least: float) -> bool:
+    """So many of the template's words meet an equal one within the band at all; no alignment there matches more."""
+    if len(text) < least:
+        return False
+    met = np.zeros(len(template), dtype=bool)
+    for d in range(max(low, 1 - len(template)), min(high, len(text) - 1) + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        met[a:b] |= template[a:b] == text[a + d : b + d]
+    return int(met.sum()) >= least
+
+
+def _clusters(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Hits (word, diagonal) by word in runs on neighbouring diagonals, none longer than a template of so many words."""
+    out: list[list[tuple[int, int]]] = []
+    for p, diagonal in hits:
+        if out and p - out[-1][0][0] <= size + BAND and abs(diagonal - out[-1][-1][1]) <= BAND:
+            out[-1].append((p, diagonal))
+        else:
+            out.append([(p, diagonal)])
+    return out
+
+
+def _alignments(index: Index, i: int, words: np.ndarray, hits: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int]]:
+    """Matches (matched words, first word, end) of one template: the densest clusters first, then again what lies before and after each span."""
+    own = index.words[i]
+    starts: list[int] = []
+    ends: list[int] = []
+    found = []
+    waiting = sorted(_clusters(hits, len(own)), key=len)
+    while waiting:
+        rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for hit in waiting.pop():
+            room = bisect_right(starts, hit[0])
+            if not room or hit[0] >= ends[room - 1]:
+                rooms[room].append(hit)
+        if len(rooms) > 1:
+            waiting.extend(rooms.values())
+            continue
+        for room, cluster in rooms.items():
+            low, high = min(d for _, d in cluster) - BAND, max(d for _, d in cluster) + BAND
+            begin = max(0, cluster[0][0] - len(own) - BAND, ends[room - 1] if room else 0)
+            part = words[begin : min(cluster[-1][0] + len(own) + BAND, starts[room] if room < len(starts) else len(words))]
+            if not _reaches(own, part, low - begin, high - begin, coverage * len(own)):
+                continue
+            n, first, end = align(own, part, low - begin, high - begin)
+            if n >= coverage * len(own):
+                found.append((n, begin + first, begin + end))
+                starts.insert(room, begin + first)
+                ends.insert(room, begin + end)
+                waiting.append(cluster)
+    return found
+
+
 def matches(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of each match in a whole text, by start; code points, end exclusive.
 
@@ -141,24 +201,17 @@ def matches(text: str | None, index: Index, coverage: float = COVERAGE) -> list[
         groups[i].append((p, diagonal))
     found = []
     for i, hits in groups.items():
-        hits.sort()
-        own, cluster = index.words[i], []
-        for p, diagonal in [*hits, (None, None)]:
-            if cluster and (p is None or p - cluster[0][0] > len(own) + BAND or abs(diagonal - cluster[-1][1]) > BAND):
-                low, high = min(d for _, d in cluster) - BAND, max(d for _, d in cluster) + BAND
-                begin = max(0, cluster[0][0] - len(own) - BAND)
-                part = words[begin : cluster[-1][0] + len(own) + BAND]
-                n, first, end = align(own, part, low - begin, high - begin)
-                if n >= coverage * len(own):
-                    found.append((n, i, begin + first, begin + end))
-                cluster = []
-            if p is not None:
-                cluster.append((p, diagonal))
+        found += [(n, i, first, end) for n, first, end in _alignments(index, i, words, sorted(hits), coverage)]
     found.sort(key=lambda m: (-m[0], len(index.words[m[1]]), m[1], m[2]))
+    # Kept matches by the stretch of text that they start in; no match is longer than a stretch.
+    stretch = max((m[3] - m[2] for m in found), default=1)
+    held: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     kept: list[tuple[int, int, int, int]] = []
     for m in found:
-        if not any(k[2] <= m[2] and m[3] <= k[3] for k in kept):
+        at = m[2] // stretch
+        if not any(k[2] <= m[2] and m[3] <= k[3] for near in (at - 1, at) for k in held.get(near, ())):
             kept.append(m)
+            held[at].append(m)
     if not kept:
         return []
     black = np.frombuffer(data, dtype=np.uint8) != 32
