@@ -301,6 +301,21 @@ def test_adjacent_repeated_notices_are_all_found(name):
         assert [(m[0], m[2]) for m in found] == [(name, k * (len(line) + 1)) for k in range(n)]
 
 
+def test_licenses_are_told_from_their_neighbours():
+    names = lambda t: sorted({m[0].split("/")[0] for m in licenses.matches(t, licenses.Index(licenses.TEMPLATES))})
+    lines = {
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    }
+    for name, line in lines.items():
+        assert names(f"some words before. {line} And after it.") == [name]
+    assert names("Released under the BSD License.") == []
+    for name in ("BSD-3-Clause/full", "BSD-2-Clause/full", "BSD-4-Clause/full", "MIT/full", "Unlicense/full", "ISC/full", "Zlib/full", "CC0-1.0/full", "LGPL-3.0/full"):
+        assert names("Copyright (c) 2020 A. B. " + licenses.TEMPLATES[name]) == [name.split("/")[0]]
+
+
 def test_winnowing_finds_every_run_of_five_words():
     index = licenses.Index({"t": " ".join(f"w{i}" for i in range(40))})
     for i in range(36):

@@ -6,6 +6,8 @@ neighbours), and an inverted index leads from a fingerprint to its templates and
 five words that a text shares with a template holds one of them.  Hits of a template that lie on
 neighbouring diagonals form a candidate, which is aligned word by word in a band around them; what is
 reported is the share of the template's words that the alignment matches and the span in the text.
+Templates are short notices, file headers and full texts; a match has to hold the words that tell
+its license and version from others (REQUIRED).
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import grams, small_batches, table, word_hashes
+from .license_texts import BSD_WARRANTY, ISC_WARRANTY, LONG, MIT_WARRANTY, UNLICENSE, ZLIB
 
 #: Notices of public licenses.
-TEMPLATES = {
+_NOTICES = {
     "MIT/notice": "Released under the MIT License.",
     "MIT/text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
@@ -45,6 +48,84 @@ TEMPLATES = {
     "CC0-1.0/text": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_BSD_START = _NOTICES["BSD-2-Clause/text"]
+_GNU = {"GPL": ("General Public", ("1", "2", "3")), "LGPL": ("Lesser General Public", ("2.1", "3")), "AGPL": ("Affero General Public", ("3",)), "LGPL ": ("Library General Public", ("2",))}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_PORTS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+
+
+def _gnu() -> tuple[dict[str, str], dict[str, list[tuple[str, ...]]]]:
+    """One-line notices and file headers of the GNU licenses, with what has to be in a match."""
+    texts, needed = {}, {}
+    for key, (kind, versions) in _GNU.items():
+        for v in versions:
+            name = f"{key.strip()}-{v if '.' in v else v + '.0'}"
+            texts[f"{name}/notice"] = f"This work is licensed under the GNU {kind} License, version {v}."
+            texts[f"{name}/header"] = _NOTICES["GPL-3.0/header"].replace("General Public", kind).replace("version 3", f"version {v}")
+            texts[f"{name}/permission"] = _NOTICES["GPL-2.0/header"].replace("General Public", kind).replace("version 2", f"version {v}")
+            texts[f"{name}/only"] = f"This program is free software; you can redistribute it and/or modify it under the terms of version {v} of the GNU {kind} License as published by the Free Software Foundation."
+            for form in ("notice", "header", "permission", "only"):
+                needed[f"{name}/{form}"] = [(f"gnu {kind} License",), (f"version {v}", f"v{v}")]
+    return texts, needed
+
+
+def _creative_commons() -> tuple[dict[str, str], dict[str, list[tuple[str, ...]]]]:
+    """Notices of the Creative Commons licenses, by short and long name."""
+    texts, needed = {}, {}
+    for short, long in _CC.items():
+        for v, port in _CC_PORTS.items():
+            texts[f"CC-{short}-{v}/notice"] = f"Licensed under CC {short} {v}."
+            texts[f"CC-{short}-{v}/text"] = f"This work is licensed under a Creative Commons {long} {v} {port} License."
+            needed[f"CC-{short}-{v}/notice"], needed[f"CC-{short}-{v}/text"] = [(f"cc {short} {v}",)], [(f"{long} {v}",)]
+    return texts, needed
+
+
+#: Notices, headers and full texts.
+TEMPLATES = {
+    **_NOTICES,
+    **_gnu()[0],
+    **_creative_commons()[0],
+    "GPL-2.0/header": _NOTICES["GPL-2.0/header"],
+    "MIT/full": f"{_NOTICES['MIT/text']} {MIT_WARRANTY}",
+    "BSD-2-Clause/full": f"{_BSD_START} {BSD_WARRANTY}",
+    "BSD-3-Clause/text": f"{_BSD_START} {_BSD_THIRD}",
+    "BSD-3-Clause/full": f"{_BSD_START} {_BSD_THIRD} {BSD_WARRANTY}",
+    "BSD-4-Clause/text": f"{_BSD_START} {_BSD_ADVERTISING} {_BSD_THIRD}",
+    "BSD-4-Clause/full": f"{_BSD_START} {_BSD_ADVERTISING} {_BSD_THIRD} {BSD_WARRANTY}",
+    "BSD-2-Clause/notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause/notice": "Licensed under the BSD 3-Clause License.",
+    "ISC/full": f"{_NOTICES['ISC/text']} {ISC_WARRANTY}",
+    "Unlicense/full": UNLICENSE,
+    "Zlib/full": ZLIB,
+    **LONG,
+}
+#: What tells a license from its neighbours: a match holds one phrase of each tuple, word by word.
+REQUIRED: dict[str, list[tuple[str, ...]]] = {
+    **_gnu()[1],
+    **_creative_commons()[1],
+    "MIT/notice": [("mit",)],
+    "Apache-2.0/notice": [("apache",), ("2.0", "v2", "v2.0")],
+    "Apache-2.0/header": [("apache",), ("2.0", "v2", "v2.0")],
+    "MPL-2.0/header": [("mozilla",), ("2.0",)],
+    "BSD-2-Clause/notice": [("bsd 2",)],
+    "BSD-3-Clause/notice": [("bsd 3",)],
+    **{f"BSD-3-Clause/{form}": [("endorse or promote products",)] for form in ("text", "full")},
+    **{f"BSD-4-Clause/{form}": [("advertising materials",), ("endorse or promote products",)] for form in ("text", "full")},
+    "GPL-1.0/full": [("version 1 february 1989", "version 1")],
+    "GPL-2.0/full": [("version 2",)],
+    "GPL-3.0/full": [("gnu general public license version 3 29 june 2007", "version 3 of the gnu general public license")],
+    "LGPL-2.0/full": [("library general public license",)],
+    "LGPL-2.1/full": [("lesser general public license",)],
+    "LGPL-3.0/full": [("lesser general public license",)],
+    "GFDL-1.2/full": [("version 1.2",)],
+    "GFDL-1.3/full": [("version 1.3",)],
+    "MPL-1.1/full": [("version 1.1",)],
+}
+#: Words past a span in which a required phrase may end: a version in another form isn't part of the alignment.
+PAST = 2
+
 GRAM, WINNOW = 3, 3
 #: Words by which an alignment may leave the candidate's diagonals.
 BAND = 12
@@ -77,6 +158,7 @@ class Index:
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
         self.words = [word_hashes(folded(t)) for t in templates.values()]
+        self.needed = [[[word_hashes(folded(x)) for x in either] for either in (REQUIRED.get(n, ()) if templates is TEMPLATES else ())] for n in self.names]
         posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, words in enumerate(self.words):
             marks = grams(words, GRAM)
@@ -85,6 +167,11 @@ class Index:
         self.posts = dict(posts)
         self.marks = np.sort(np.array(list(self.posts), dtype=np.uint64))
 
+    def told(self, i: int, text: np.ndarray) -> bool:
+        """The text holds what tells the template's license from others."""
+        has = lambda x: len(x) <= len(text) and bool((np.lib.stride_tricks.sliding_window_view(text, len(x)) == x).all(axis=1).any())
+        return all(any(has(x) for x in either) for either in self.needed[i])
+
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, diagonal, word) of each fingerprint of the text that is in the index."""
         found = grams(words, GRAM)
@@ -181,7 +268,8 @@ def _alignments(index: Index, i: int, words: np.ndarray, hits: list[tuple[int, i
                 continue
             n, first, end = align(own, part, low - begin, high - begin)
             if n >= coverage * len(own):
-                found.append((n, begin + first, begin + end))
+                if index.told(i, part[first : end + PAST]):
+                    found.append((n, begin + first, begin + end))
                 starts.insert(room, begin + first)
                 ends.insert(room, begin + end)
                 waiting.append(cluster)
