@@ -8,8 +8,9 @@ bands of ROWS samples make its buckets.
 
 Texts of equal words are one node.  In each bucket all nodes are compared with the bucket's hub
 by the weighted Jaccard similarity of their whole vectors, beside which the plain Jaccard
-similarity of the shingle sets is kept; pairs link if either is 0.8 or more, so that no pair that is
-near by its plain shingles is lost to weights.  Then the nodes that aren't in their hub's class are
+similarity of the shingle sets is kept; pairs link if either is 0.8 or more.  Buckets come from the
+weighted samples only: a pair that is near by its plain shingles but of weighted similarity s shares
+none with a probability of (1 - s^ROWS)^BANDS (0.4 at 0.5) and isn't compared then.  Then the nodes that aren't in their hub's class are
 compared with all of the bucket's nodes of other classes, but for pairs that can't be near: two nodes
 share no more than what either has in common with any other node, and 1 - similarity is a metric.  So
 no link between classes is lost within a bucket, and no pair within a class is formed.
