@@ -1,5 +1,7 @@
 """Quality, near-dedup, nearest neighbours and the pipeline."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -50,18 +52,38 @@ def test_near_duplicates_find_all_similar_pairs(spark):
         for at in rng.choice(300, size=k // 4, replace=False):
             words[at] = f"x{k}_{at}"
         texts[10_000 + k] = " ".join(words)
+    for k in range(60):  # strays of a hub, some of them near each other
+        words = base.split()[: 240 + k]
+        words[(k // 6) * 20 : (k // 6) * 20 + 12] = [f"y{k // 6}_{j}" for j in range(12)]
+        texts[20_000 + k] = " ".join(words)
     got = {r.doc_id: r for r in _near(spark, [(i, x, 1) for i, x in texts.items()]).collect()}
-    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, x.split()) for i, x in texts.items())}
+    bags = {i: Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, w in ((i, x.split()) for i, x in texts.items())}
+    held = Counter(s for bag in bags.values() for s in bag)
+    idf = {s: min(-np.log((1 + n) / (1 + len(texts))), -np.log(neardup.RAREST)) for s, n in held.items()}
+    weigh = {i: {s: n * idf[s] for s, n in bag.items()} for i, bag in bags.items()}
     ids = sorted(texts)
+    parent = {i: i for i in ids}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    met = together = 0
     for a in ids:
         for b in ids:
-            if a < b and sets[a] & sets[b]:
-                s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                assert s < 0.8 or got[a].class_id == got[b].class_id, (a, b, s)
-                assert s >= 0.6 or got[a].class_id != got[b].class_id or s > 0.3
+            if a < b and not bags[a].keys().isdisjoint(bags[b]):
+                least = sum(min(w, weigh[b][s]) for s, w in weigh[a].items() if s in weigh[b])
+                # The sketch's noise moves a similarity by less than 0.002 here.
+                s = least / (sum(weigh[a].values()) + sum(weigh[b].values()) - least)
+                if s >= 0.802:
+                    met, together = met + 1, together + (got[a].class_id == got[b].class_id)
+                if s >= 0.798:
+                    parent[max(top(a), top(b))] = min(top(a), top(b))
+    # No link joins what exact similarities keep apart, and hardly a pair is lost.
+    assert not [(i, got[i].class_id) for i in ids if top(i) != top(got[i].class_id)]
+    assert met > 200 and together >= 0.99 * met, (met, together)
     assert all(got[i].class_id <= i for i in ids) and sum(r.is_kept for r in got.values()) == len({r.class_id for r in got.values()})
-    loners = [i for i in ids if all(i == j or not (sets[i] & sets[j]) for j in ids)]
-    assert loners and all(got[i].class_id == i for i in loners)
 
 
 def test_weighted_samples_agree_as_often_as_similarity(spark):
@@ -71,7 +93,7 @@ def test_weighted_samples_agree_as_often_as_similarity(spark):
     for _ in range(30):
         a, b = np.sort(rng.choice(400, 300, replace=False)), np.sort(rng.choice(400, 300, replace=False))
         wa, wb = rng.random(300) + 0.5, rng.random(300) + 0.5
-        s = neardup.weighted_jaccard((keys[a], wa), (keys[b], wb))[0]
+        s = neardup.weighted_jaccard((keys[a], wa), (keys[b], wb))
         agree.append((neardup.signature(keys[a], wa) == neardup.signature(keys[b], wb)).mean() - s)
     assert abs(np.mean(agree)) < 0.03
 

@@ -1,19 +1,21 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of five words.  A shingle weighs its count in the text times its inverse document
-frequency, ln((1 + documents) / (1 + frequency)), where frequencies of all documents are counted in
-2**20 hash cells of a sketch whose size doesn't depend on the input.  Each text gets SAMPLES samples
-(shingle, level) that two texts share with a probability of their weighted Jaccard similarity; BANDS
-bands of ROWS samples make its buckets.
-
-Texts of equal words are one node.  In each bucket all nodes are compared with the bucket's hub
-by the weighted Jaccard similarity of their whole vectors, beside which the plain Jaccard
-similarity of the shingle sets is kept; pairs link if either is 0.8 or more.  Buckets come from the
-weighted samples only: a pair that is near by its plain shingles but of weighted similarity s shares
-none with a probability of (1 - s^ROWS)^BANDS (0.4 at 0.5) and isn't compared then.  Then the nodes that aren't in their hub's class are
-compared with all of the bucket's nodes of other classes, but for pairs that can't be near: two nodes
-share no more than what either has in common with any other node, and 1 - similarity is a metric.  So
-no link between classes is lost within a bucket, and no pair within a class is formed.
+frequency, -ln((1 + frequency) / (1 + documents)), but that of a share of RAREST at most: shingles in a
+smaller share of all documents all weigh the same, at every size of the input.  Frequencies come from a count-min sketch of
+two rows over all documents, from which the mean noise of a cell is taken; what noise is left shrinks
+against the documents' number as that grows.  Each text gets SAMPLES samples (shingle, level) that two
+texts share with a probability of their weighted Jaccard similarity; BANDS bands of ROWS samples make
+its buckets.
+
+Texts of equal words are one node.  Two nodes link if the weighted Jaccard similarity of their whole
+vectors is 0.8 or more.  In each bucket all nodes are first compared with one hub, the node with the most
+company in its other buckets.  The strays, nodes that aren't in the hub's class then, become hubs themselves, in
+rounds of up to 8, 64, 512 and so on of a bucket, and are compared with the bucket's nodes of other
+classes, but for those that can't be near: two nodes share no more than what either has in common with
+any other node.  A stray that joins the hub's class before its turn needs none.  So each round is
+linear in its bucket, no link between classes is lost within a bucket, and no pair within a class is
+formed.  Lost are pairs that share no bucket: (1 - s^ROWS)^BANDS of those of similarity s, 0.06 % at 0.8.
 """
 
 from __future__ import annotations
@@ -25,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, named, seen_twice, sketch_rows, small_batches, table, text_key, written
+from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, seen_twice, sketch_rows, small_batches, table, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 14
 SAMPLES = ROWS * BANDS
+#: log2 of the cells in each of the two rows of the sketch of document frequencies.
 IDF_BITS = 20
-#: log2 of the cells of the sketch that tells common shingles.
-CELL_BITS = 26
+#: Shares of documents below this count as this.
+RAREST = 2.0**-8
+#: Least and largest log2 of the cells of the sketch that tells common shingles; beyond, it only spares fewer comparisons.
+CELL_BITS = (16, 28)
+#: Hubs of a round are so many times those of the round before.
+MORE_HUBS = 8
 _BLOCK = 4096
 #: Draws of the samples come from a fixed pool of so many triples, picked by a hash of shingle and sample.
 _POOL_BITS = 16
@@ -62,7 +69,9 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[keys >> np.uint32(32 - IDF_BITS)]
+    """Counts times IDF; of the sketch's two rows the one that names the shingle rarer."""
+    one, two = cells(keys.astype(np.uint64), IDF_BITS)
+    return counts * np.maximum(idf[0, one], idf[1, two])
 
 
 def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -95,86 +104,96 @@ def _bands(samples: np.ndarray) -> np.ndarray:
     return total
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Of two sorted sparse vectors: sum of least by sum of largest weights, and the Jaccard similarity of the keys; 0 if both are empty."""
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two sorted sparse vectors: sum of least by sum of largest weights; 0 if both are empty."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
     most = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - least
-    keys = len(a[0]) + len(b[0]) - len(i)
-    return (least / most if most > 0 else 0.0), (len(i) / keys if keys else 0.0)
+    return least / most if most > 0 else 0.0
 
 
-def idf_table(texts: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + frequency)) of each cell, from all texts; never below a small positive value."""
-    blocks = (1 << IDF_BITS) // _BLOCK
+def idf_table(vectors: DataFrame) -> np.ndarray:
+    """-ln of the share of documents of each cell of both rows of the sketch, from all vectors."""
+    blocks = (2 << IDF_BITS) // _BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, docs = np.zeros(1 << IDF_BITS, dtype=np.int64), 0
+        found, docs = np.zeros(2 << IDF_BITS, dtype=np.int32), 0
         for batch in batches:
-            words, offsets = batch_word_hashes(batch.column(0))
-            for i in range(batch.num_rows):
-                keys, _ = shingles(words[offsets[i] : offsets[i + 1]])
-                if len(keys):
-                    docs += 1
-                    np.add.at(cells, np.unique(keys >> np.uint32(32 - IDF_BITS)), 1)
+            keys = [np.unique(np.frombuffer(x, "<u4")) for x in batch.column(0).to_pylist()]
+            docs += sum(1 for k in keys if len(k))
+            if keys:
+                for row, at in enumerate(cells(np.concatenate(keys).astype(np.uint64), IDF_BITS)):
+                    found[row << IDF_BITS : (row + 1) << IDF_BITS] += np.bincount(at, minlength=1 << IDF_BITS).astype(np.int32)
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(blocks)], pa.int32()), pa.array([np.array([docs], "<i8").tobytes(), *[x.astype("<i8").tobytes() for x in cells.reshape(blocks, _BLOCK)]], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(blocks)], pa.int32()), pa.array([np.array([docs], "<i4").tobytes(), *[x.astype("<i4").tobytes() for x in found.reshape(blocks, _BLOCK)]], pa.binary())], names=["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 if key[0].as_py() < 0 else _BLOCK, dtype=np.int64)
         for batch in batches:
             for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(x, "<i8")
+                total += np.frombuffer(x, "<i4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
-    merged = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    merged = vectors.select("vector").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     found = {r["block"]: np.frombuffer(r["counts"], "<i8") for r in merged.toLocalIterator()}
     if not found:
-        return np.ones(1 << IDF_BITS, dtype=np.float32)
-    cells = np.concatenate([found[b] for b in range(blocks)])
-    return np.maximum(np.log((1.0 + found[-1][0]) / (1.0 + cells)), 0.05).astype(np.float32)
+        return np.ones((2, 1 << IDF_BITS), dtype=np.float32)
+    docs, counts = float(found[-1][0]), np.concatenate([found[b] for b in range(blocks)]).reshape(2, -1).astype(np.float64)
+    # What other shingles leave in a cell on average; a shingle that is looked up is in one document at least.
+    noise = (counts.sum(axis=1, keepdims=True) - counts) / ((1 << IDF_BITS) - 1)
+    share = (1 + np.maximum(counts - noise, 1.0)) / (1 + docs)
+    # A lone document's shingles must weigh something.
+    return np.maximum(-np.log(np.maximum(share, RAREST)), 0.05).astype(np.float32)
 
 
-def _vectors(texts: DataFrame, idf) -> DataFrame:
-    """node, bands, and the vector (sorted shingle hashes, each as often as it occurs) of each text."""
+def _vectors(texts: DataFrame) -> DataFrame:
+    """node and the vector (sorted shingle hashes, each as often as it occurs) of each text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = idf.value
         for batch in batches:
             words, offsets = batch_word_hashes(batch.column("text"))
-            bands, vectors = [], []
-            for i in range(batch.num_rows):
-                own = words[offsets[i] : offsets[i + 1]]
-                keys, counts = shingles(own)
-                vectors.append(np.repeat(keys, counts).astype("<u4").tobytes())
-                bands.append(int64(_bands(signature(keys, _weights(keys, counts, known)))) if len(keys) else np.zeros(0, np.int64))
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(vectors, pa.binary())], names=["node", "bands", "vector"])
+            vectors = [np.repeat(*shingles(words[offsets[i] : offsets[i + 1]])).astype("<u4").tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(vectors, pa.binary())], names=["node", "vector"])
+
+    return texts.mapInArrow(make, "node binary, vector binary")
+
+
+def _buckets(vectors: DataFrame, idf) -> DataFrame:
+    """(node, band): the buckets of each vector; an empty one has none."""
 
-    return texts.mapInArrow(make, "node binary, bands array<long>, vector binary")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bands = [], []
+            for node, vector in zip(batch.column("node").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                keys, counts = np.unique(np.frombuffer(vector, "<u4"), return_counts=True)
+                if len(keys):
+                    nodes += [node] * BANDS
+                    bands.append(int64(_bands(signature(keys, _weights(keys, counts, idf.value)))))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))], names=["node", "band"])
 
+    return vectors.mapInArrow(make, "node binary, band long")
 
-def _similarities(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
-    """(a, b, weighted, plain) of pairs of nodes, from whole vectors."""
+
+def _near(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b, weighted) of the pairs of nodes whose similarity is the threshold or more, from whole vectors."""
     left = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
     both = left.join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
 
-    @F.arrow_udf("weighted double, plain double")
+    @F.arrow_udf("double")
     def compare(va: pa.Array, vb: pa.Array) -> pa.Array:
-        known, out, last = idf.value, [], (None, None)
+        out, last = [], (None, None)
 
         def vector(x: bytes) -> tuple[np.ndarray, np.ndarray]:
             keys, counts = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
-            return keys, _weights(keys, counts, known)
+            return keys, _weights(keys, counts, idf.value)
 
         for x, y in zip(va.to_pylist(), vb.to_pylist(), strict=True):
             if last[0] != y:
                 last = (y, vector(y))
             out.append(weighted_jaccard(vector(x), last[1]))
-        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (zip(*out, strict=True) if out else ((), ()))], ["weighted", "plain"])
+        return pa.array(out, pa.float64())
 
-    return both.select("a", "b", compare("va", "vb").alias("s")).select("a", "b", "s.weighted", "s.plain")
+    return both.select("a", "b", compare("va", "vb").alias("weighted")).filter(F.col("weighted") >= threshold)
 
 
 def components(edges: DataFrame, what: str = "classes") -> DataFrame:
@@ -200,103 +219,117 @@ def components(edges: DataFrame, what: str = "classes") -> DataFrame:
 
 
 def _shares(one: DataFrame, idf) -> DataFrame:
-    """Of each node: total and common weight, and numbers of shingles and of common ones.
+    """Of each node: total and common weight.
 
     A shingle is common if it is estimated to occur in two or more of these nodes; estimates are never
     too low, so two nodes share no more than the lesser of their common weights.
     """
+    held = one.agg(F.coalesce(F.sum(F.length("vector") / 4), F.lit(0))).first()[0]
+    bits = min(max(int(np.ceil(np.log2(max(2.0 * held, 2.0)))), CELL_BITS[0]), CELL_BITS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         size = 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for into, at in zip(held, cells(np.unique(np.frombuffer(x, "<u4")).astype(np.uint64), CELL_BITS), strict=True):
+                for into, at in zip(held, cells(np.unique(np.frombuffer(x, "<u4")).astype(np.uint64), bits), strict=True):
                     into.append(at)
                 size += len(held[0][-1])
             if size > FLUSH_CELLS:
-                yield from sketch_rows(held, CELL_BITS)
+                yield from sketch_rows(held, bits)
                 held, size = [[], []], 0
         if size:
-            yield from sketch_rows(held, CELL_BITS)
+            yield from sketch_rows(held, bits)
 
-    sent = one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), CELL_BITS))
+    sent = one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), bits))
 
-    @F.arrow_udf("total double, common double, keys double, common_keys double")
+    @F.arrow_udf("total double, common double")
     def shares(vectors: pa.Array) -> pa.Array:
         out = []
         for x in vectors.to_pylist():
             keys, counts = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
-            weights, twice = _weights(keys, counts, idf.value).astype(np.float64), seen_twice(sent.value, keys.astype(np.uint64), CELL_BITS)
-            out.append((weights.sum(), weights[twice].sum(), len(keys), int(twice.sum())))
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(list(c), pa.float64()) for c in columns], ["total", "common", "keys", "common_keys"])
+            weights = _weights(keys, counts, idf.value).astype(np.float64)
+            out.append((weights.sum(), weights[seen_twice(sent.value, keys.astype(np.uint64), bits)].sum()))
+        columns = zip(*out, strict=True) if out else ((), ())
+        return pa.StructArray.from_arrays([pa.array(list(c), pa.float64()) for c in columns], ["total", "common"])
 
     return one.select("node", shares("vector").alias("s")).select("node", "s.*")
 
 
-def _at_most(total_a, common_a, total_b, common_b):
-    """A bound of the similarity of two nodes from what they can share."""
-    least = F.least(common_a, common_b)
-    return least / (total_a + total_b - least)
+def _moved(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """The rows with each named column's node replaced by its root, where it has one."""
+    for i, c in enumerate(columns):
+        to = roots.select(F.col("node").alias(f"td_n{i}"), F.col("root").alias(f"td_r{i}"))
+        rows = rows.join(to, F.col(c) == F.col(f"td_n{i}"), "left").withColumn(c, F.coalesce(f"td_r{i}", c)).drop(f"td_n{i}", f"td_r{i}")
+    return rows
 
 
-def near_duplicate_links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, weighted, plain) that tie the nodes of each class together."""
+def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The links, and (node, root) tables that are to be followed one after the other to a node's class."""
     spark: SparkSession = df.sparkSession
     small_batches(spark)
     texts = df.select(text_key(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(texts.select("text")))
-    vectors = written(_vectors(texts, idf), "vectors")
+    vectors = written(_vectors(texts), "vectors")
+    idf = spark.sparkContext.broadcast(idf_table(vectors))
     # Copies bring the same rows; one of each is enough.
-    buckets = written(vectors.select("node", F.explode("bands").alias("band")).distinct(), "buckets")
-    full = buckets.groupBy("band").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).filter("n1 < n2").select("band")
-    shared = buckets.join(full, "band", "left_semi")
-    one = vectors.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
-    one = written(one, "wanted")
-    # A bucket's hub is the node with the least share of its own, for most others are likest to it.
-    known = shared.join(_shares(one, idf), "node").withColumn("own", 1 - F.col("common") / F.col("total"))
-    placed = written(known, "shared")
-    hubs = placed.groupBy("band").agg(F.min(F.struct("own", "node", "total", "common", "keys", "common_keys")).alias("hub"))
-    near = (F.col("weighted") >= threshold) | (F.col("plain") >= threshold)
-    slack = 1e-6
-    bound = lambda a, b: (_at_most(a("total"), a("common"), b("total"), b("common")) >= threshold - slack) | (_at_most(a("keys"), a("common_keys"), b("keys"), b("common_keys")) >= threshold - slack)
+    buckets = written(_buckets(vectors, idf).distinct(), "buckets")
+    full = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(buckets.join(full, "band"), "shared")
+    reach = shared.groupBy("node").agg(F.sum(F.log("n")).alias("reach"))
+    one = written(vectors.join(reach, "node").groupBy("node").agg(F.first("vector").alias("vector"), F.first("reach").alias("reach")), "wanted")
+    known = written(_shares(one, idf).join(one.select("node", "reach"), "node"), "known")
+    placed = written(shared.select("band", "node").join(known, "node"), "placed")
+    hubs = written(placed.groupBy("band").agg(F.max(F.struct("reach", "node", "total", "common")).alias("hub"), F.min("total").alias("least")), "hubs")
+    floor = threshold - 1e-6
+    # A bound of the similarity of two nodes from what they can share.
+    possible = lambda ta, ca, tb, cb: F.least(ca, cb) / (ta + tb - F.least(ca, cb)) >= floor
     stars = placed.join(hubs, "band").filter(F.col("node") != F.col("hub.node"))
-    stars = stars.filter(bound(F.col, lambda c: F.col(f"hub.{c}"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    compared = written(_similarities(stars, one, idf), "stars")
-    links = compared.filter(near)
-    # Second step: nodes that aren't in the class of their bucket's hub, against all others of the bucket.
-    roots = components(links.select("a", "b"), "stars")
-    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hub_roots = hubs.select("band", F.col("hub.node").alias("hub")).join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    smallest = placed.groupBy("band").agg(F.min("total").alias("t0"), F.min("keys").alias("k0"))
-    rest = rooted.join(hub_roots, "band").join(smallest, "band").filter("node <> hub")
+    stars = stars.filter(possible(F.col("total"), F.col("common"), F.col("hub.total"), F.col("hub.common"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    links = written(_near(stars, one, idf, threshold), "links")
+    roots = [components(links, "stars")]
+    rows = placed.join(hubs.select("band", F.col("hub.node").alias("hub"), "least"), "band").filter("node <> hub")
     # No partner can have a larger bound than one of the bucket's least size that shares all that is common.
-    able = lambda t, c, t0: F.col(c) / (F.col(t) + F.greatest(F.col(t0) - F.col(c), F.lit(0.0))) >= threshold - slack
-    rest = rest.filter(able("total", "common", "t0") | able("keys", "common_keys", "k0"))
-    to_hub = compared.select(F.col("a").alias("node"), F.col("b").alias("hub"), "weighted", "plain")
-    rest = rest.join(to_hub, ["node", "hub"], "left").withColumn("stray", F.col("root") != F.col("hub_root"))
-    open_ = rest.filter("stray").select("band").distinct()
-    rest = written(rest.join(open_, "band", "left_semi").select("band", "node", "root", "stray", "weighted", "plain", "total", "common", "keys", "common_keys"), "open")
-    a, b = rest.filter("stray").alias("a"), rest.alias("b")
-    col = lambda side: lambda c: F.col(f"{side}.{c}")
-    # The triangle inequality, where both were compared with the hub.
-    far = lambda m: F.coalesce(F.abs(F.col(f"a.{m}") - F.col(f"b.{m}")) <= 1 - threshold + slack, F.lit(True))
-    possible = ((_at_most(*[col(s)(c) for s in "ab" for c in ("total", "common")]) >= threshold - slack) & far("weighted")) | ((_at_most(*[col(s)(c) for s in "ab" for c in ("keys", "common_keys")]) >= threshold - slack) & far("plain"))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible)
-    pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    more = _similarities(pairs, one, idf).filter(near)
-    return written(links.unionByName(more), "links")
+    able = F.col("common") / (F.col("total") + F.greatest(F.col("least") - F.col("common"), F.lit(0.0))) >= floor
+    rows = _moved(rows.filter(able).withColumn("root", F.col("node")), roots[0], "root", "hub")
+    stray = F.col("root") != F.col("hub")
+    counts = rows.filter(stray).groupBy("band").agg(F.count("*").alias("strays"))
+    # A stray's place among those of its bucket, in no particular order, says in which round it is a hub.
+    place = F.shiftrightunsigned(F.xxhash64("band", "node"), 11) / F.lit(float(1 << 53)) * F.col("strays")
+    turn = F.when(stray, F.floor(F.log(F.greatest(place, F.lit(1.0))) / F.log(F.lit(float(MORE_HUBS))) + 1e-9).cast("int"))
+    rows = written(rows.join(counts, "band").withColumn("turn", turn).select("band", "node", "root", "hub", "total", "common", "turn"), "open-0")
+    last = rows.agg(F.max("turn")).first()[0]
+    for at in range(0 if last is None else last + 1):
+        asked = rows.filter((F.col("turn") == at) & stray)
+        bands = asked.select("band").distinct()
+        a, b = asked.alias("a"), rows.join(bands, "band", "left_semi").filter((F.coalesce("turn", F.lit(at)) >= at) | ~stray).alias("b")
+        met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible(*[F.col(f"{s}.{c}") for s in "ab" for c in ("total", "common")]))
+        pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        more = written(_near(pairs, one, idf, threshold), f"links-{at}")
+        links = links.unionByName(more)
+        if more.limit(1).count():
+            ends = more
+            for known_roots in roots:
+                ends = _moved(ends, known_roots, "a", "b")
+            roots.append(components(ends.filter("a <> b"), f"round-{at}"))
+            rows = _moved(rows, roots[-1], "root", "hub")
+        rows = written(rows.filter(~stray | (F.col("turn") > at)), f"open-{at + 1}") if at < last else rows
+    return links, roots
+
+
+def near_duplicate_links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b, weighted) that tie the nodes of each class together."""
+    return _linked(df, text_col, threshold)[0]
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """Of each node: its least id, its class's root and least id, the node that stays in the class, and its links."""
-    links = near_duplicate_links(df, text_col, threshold)
+    links, roots = _linked(df, text_col, threshold)
     ids = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("node")).groupBy("node").agg(F.min("id").alias("id"))
-    roots = components(links, "links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = ids.join(roots, "node", "left").join(counts, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = written(placed, "placed")
+    placed = ids.join(counts, "node", "left").withColumn("root", F.col("node"))
+    for found in roots:
+        placed = _moved(placed, found, "root")
+    placed = written(placed.select("node", "id", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     return placed.join(least, "root").select(F.col("node").alias("td_node"), F.col("first.id").alias("class_id"), F.col("first.node").alias("td_first"), "n_links")
 
@@ -327,9 +360,10 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     The rows that stay are found by id and text together, so that a large class isn't dealt to one task.
     """
     first = _classes(df, id_col, text_col, threshold).select(F.col("class_id").alias("td_class"), "td_first").distinct()
-    rows = df.withColumn("td_own", text_key(text_col))
-    kept = rows.join(first, F.col(id_col).eqNullSafe(F.col("td_class")) & (F.col("td_own") == F.col("td_first")), "left_semi")
-    return kept.dropDuplicates([id_col, "td_own"]).select(*named(df.columns))
+    out, back = aside(df, df.columns)
+    rows = df.select(*out, F.col(id_col).alias("td_id"), text_key(text_col).alias("td_own"))
+    kept = rows.join(first, F.col("td_id").eqNullSafe(F.col("td_class")) & (F.col("td_own") == F.col("td_first")), "left_semi")
+    return kept.dropDuplicates(["td_id", "td_own"]).select(*back)
 
 
 def op5(spark, sf_dir) -> DataFrame:
