@@ -50,11 +50,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/treedelta-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, what: str, narrow: bool = False) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet to the shared folder and read them back.
+
+    A table of few and narrow rows is dealt to no more tasks than the cluster runs at once twice over, for each file
+    costs several calls of the file system however few rows it has.  It is dealt by a shuffle, since coalesced
+    tasks would hold the sorters of all joins that they take in.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    out = df.repartition(2 * spark.sparkContext.defaultParallelism) if narrow else df
+    out.write.option("compression", "snappy").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -11,7 +11,7 @@ its buckets.
 Texts of equal words are one node.  Two nodes link if the weighted Jaccard similarity of their whole
 vectors is 0.8 or more.  In each bucket all nodes are first compared with one hub, the node with the most
 company in its other buckets.  The strays, nodes that aren't in the hub's class then, become hubs themselves, in
-rounds of up to 8, 64, 512 and so on of a bucket, and are compared with the bucket's nodes of other
+rounds of up to 64, 4096 and so on of a bucket, and are compared with the bucket's nodes of other
 classes, but for those that can't be near: two nodes share no more than what either has in common with
 any other node.  A stray that joins the hub's class before its turn needs none.  So each round is
 linear in its bucket, no link between classes is lost within a bucket, and no pair within a class is
@@ -40,7 +40,7 @@ RAREST = 2.0**-8
 #: Least and largest log2 of the cells of the sketch that tells common shingles; beyond, it only spares fewer comparisons.
 CELL_BITS = (16, 28)
 #: Hubs of a round are so many times those of the round before.
-MORE_HUBS = 8
+MORE_HUBS = 64
 _BLOCK = 4096
 #: Draws of the samples come from a fixed pool of so many triples, picked by a hash of shingle and sample.
 _POOL_BITS = 16
@@ -203,8 +203,8 @@ def components(edges: DataFrame, what: str = "classes") -> DataFrame:
     followed twice as far in each round, until nothing changes; rounds grow with the logarithm of the
     longest chain.  Each round is written to the shared folder.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{what}-edges")
-    roots = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"{what}-0")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{what}-edges", narrow=True)
+    roots = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"{what}-0", narrow=True)
     at = 0
     while True:
         at += 1
@@ -212,14 +212,14 @@ def components(edges: DataFrame, what: str = "classes") -> DataFrame:
         lower = roots.join(near, roots["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "other").alias("root"))
         up = roots.select(F.col("node").alias("via"), F.col("root").alias("above"))
         new = lower.join(up, lower["root"] == up["via"], "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
-        new = written(new, f"{what}-{at}")
+        new = written(new, f"{what}-{at}", narrow=True)
         if new.filter("root <> was").limit(1).count() == 0:
             return new.select("node", "root")
         roots = new.select("node", "root")
 
 
 def _shares(one: DataFrame, idf) -> DataFrame:
-    """Of each node: total and common weight.
+    """Of each node: reach, total and common weight.
 
     A shingle is common if it is estimated to occur in two or more of these nodes; estimates are never
     too low, so two nodes share no more than the lesser of their common weights.
@@ -253,7 +253,7 @@ def _shares(one: DataFrame, idf) -> DataFrame:
         columns = zip(*out, strict=True) if out else ((), ())
         return pa.StructArray.from_arrays([pa.array(list(c), pa.float64()) for c in columns], ["total", "common"])
 
-    return one.select("node", shares("vector").alias("s")).select("node", "s.*")
+    return one.select("node", "reach", shares("vector").alias("s")).select("node", "reach", "s.*")
 
 
 def _moved(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
@@ -277,15 +277,15 @@ def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
     shared = written(buckets.join(full, "band"), "shared")
     reach = shared.groupBy("node").agg(F.sum(F.log("n")).alias("reach"))
     one = written(vectors.join(reach, "node").groupBy("node").agg(F.first("vector").alias("vector"), F.first("reach").alias("reach")), "wanted")
-    known = written(_shares(one, idf).join(one.select("node", "reach"), "node"), "known")
+    known = _shares(one, idf)
     placed = written(shared.select("band", "node").join(known, "node"), "placed")
-    hubs = written(placed.groupBy("band").agg(F.max(F.struct("reach", "node", "total", "common")).alias("hub"), F.min("total").alias("least")), "hubs")
+    hubs = written(placed.groupBy("band").agg(F.max(F.struct("reach", "node", "total", "common")).alias("hub"), F.min("total").alias("least")), "hubs", narrow=True)
     floor = threshold - 1e-6
     # A bound of the similarity of two nodes from what they can share.
     possible = lambda ta, ca, tb, cb: F.least(ca, cb) / (ta + tb - F.least(ca, cb)) >= floor
     stars = placed.join(hubs, "band").filter(F.col("node") != F.col("hub.node"))
     stars = stars.filter(possible(F.col("total"), F.col("common"), F.col("hub.total"), F.col("hub.common"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-    links = written(_near(stars, one, idf, threshold), "links")
+    links = written(_near(stars, one, idf, threshold), "links", narrow=True)
     roots = [components(links, "stars")]
     rows = placed.join(hubs.select("band", F.col("hub.node").alias("hub"), "least"), "band").filter("node <> hub")
     # No partner can have a larger bound than one of the bucket's least size that shares all that is common.
@@ -296,15 +296,18 @@ def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
     # A stray's place among those of its bucket, in no particular order, says in which round it is a hub.
     place = F.shiftrightunsigned(F.xxhash64("band", "node"), 11) / F.lit(float(1 << 53)) * F.col("strays")
     turn = F.when(stray, F.floor(F.log(F.greatest(place, F.lit(1.0))) / F.log(F.lit(float(MORE_HUBS))) + 1e-9).cast("int"))
-    rows = written(rows.join(counts, "band").withColumn("turn", turn).select("band", "node", "root", "hub", "total", "common", "turn"), "open-0")
+    rows = rows.join(counts, "band").withColumn("turn", turn).select("band", "node", "root", "hub", "total", "common", "turn")
+    # A pair meets in the first of the buckets that it shares: one of two nodes of different classes is a stray there.
+    held = shared.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    rows = written(rows.join(held, "node"), "open-0", narrow=True)
     last = rows.agg(F.max("turn")).first()[0]
     for at in range(0 if last is None else last + 1):
         asked = rows.filter((F.col("turn") == at) & stray)
         bands = asked.select("band").distinct()
         a, b = asked.alias("a"), rows.join(bands, "band", "left_semi").filter((F.coalesce("turn", F.lit(at)) >= at) | ~stray).alias("b")
-        met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible(*[F.col(f"{s}.{c}") for s in "ab" for c in ("total", "common")]))
+        met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible(*[F.col(f"{s}.{c}") for s in "ab" for c in ("total", "common")]) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")))
         pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        more = written(_near(pairs, one, idf, threshold), f"links-{at}")
+        more = written(_near(pairs, one, idf, threshold), f"links-{at}", narrow=True)
         links = links.unionByName(more)
         if more.limit(1).count():
             ends = more
@@ -312,7 +315,7 @@ def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
                 ends = _moved(ends, known_roots, "a", "b")
             roots.append(components(ends.filter("a <> b"), f"round-{at}"))
             rows = _moved(rows, roots[-1], "root", "hub")
-        rows = written(rows.filter(~stray | (F.col("turn") > at)), f"open-{at + 1}") if at < last else rows
+        rows = written(rows.filter(~stray | (F.col("turn") > at)), f"open-{at + 1}", narrow=True) if at < last else rows
     return links, roots
 
 
@@ -329,7 +332,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     placed = ids.join(counts, "node", "left").withColumn("root", F.col("node"))
     for found in roots:
         placed = _moved(placed, found, "root")
-    placed = written(placed.select("node", "id", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
+    placed = written(placed.select("node", "id", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed", narrow=True)
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
     return placed.join(least, "root").select(F.col("node").alias("td_node"), F.col("first.id").alias("class_id"), F.col("first.node").alias("td_first"), "n_links")
 
