@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, small_batches, table
+from .common import aside, named, small_batches, table
 
 MAX_LABELLED, MAX_POOL = 6_000, 6_000
+#: Labelled rows of one id that the fit takes.
+PER_ID = 4
 ROUNDS, PER_ROUND = 5, 0.05
 FOLDS = 5
 #: Documents below this probability of good quality are rejected; a low bar, for clean documents are to stay.
@@ -205,8 +207,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return None
     few = known.filter(place < min(1.0, max_labelled / n_known)).select(F.col(id_col).alias("td_id"), (F.col("y") > 0.5).cast("double").alias("y"))
     # The sample of labels is bounded, so it can be broadcast.
-    rows = df.join(F.broadcast(few), F.col(id_col) == F.col("td_id"), "left").filter(F.col("y").isNotNull() | (place < min(1.0, max_pool / n_all)))
-    got = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), "y", _features(*_columns(df, text_col)).alias("x")).collect()
+    # Rows are placed by id and text, so that one id's many rows, or those without one, aren't drawn together.
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(12), F.col(id_col), F.col(text_col)), 1) / F.lit(float(1 << 63))
+    facts = df.select(F.col(id_col).alias("td_own"), F.xxhash64(text_col).alias("td_h"), spread.alias("td_place"), *[c.alias(f"td_f{i}") for i, c in enumerate(_columns(df, text_col))])
+    rows = facts.join(F.broadcast(few), F.col("td_own") == F.col("td_id"), "left").filter(F.col("y").isNotNull() | (F.col("td_place") < min(1.0, max_pool / n_all)))
+    # Equal rows of the sample say the same; one of each counts, and of one id's labelled rows the first PER_ID.
+    rows = rows.dropDuplicates(["td_own", "td_h"])
+    own = Window.partitionBy("td_own").orderBy("td_h")
+    rows = rows.withColumn("td_at", F.row_number().over(own)).filter(F.col("y").isNull() | (F.col("td_at") <= PER_ID))
+    got = rows.select(F.col("td_own").alias("id"), F.col("td_h").alias("h"), "y", _features(*[F.col(f"td_f{i}") for i in range(4)]).alias("x")).collect()
     got.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["h"]))
     x = np.array([r["x"] for r in got], dtype=np.float64).reshape(len(got), TEXT_FEATURES + 2 * _HASHED + 3)
     y = np.array([np.nan if r["y"] is None else r["y"] for r in got], dtype=np.float64)
@@ -225,9 +234,9 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     small_batches(df.sparkSession)
     model = fit(df, labels, id_col, text_col)
-    base = df.drop("p_text", "p_meta", "quality", "is_good", "td_scores")
+    keep = [c for c in df.columns if c not in {"p_text", "p_meta", "quality", "is_good"}]
     if model is None:
-        return base.withColumns({c: F.lit(None).cast("double") for c in ("p_text", "p_meta", "quality")}).withColumn("is_good", F.lit(True))
+        return df.select(*named(keep)).withColumns({c: F.lit(None).cast("double") for c in ("p_text", "p_meta", "quality")}).withColumn("is_good", F.lit(True))
 
     @F.arrow_udf("p_text double, p_meta double, quality double")
     def scores(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
@@ -235,8 +244,9 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         b = np.array([meta_features(*m) for m in zip(langs.to_pylist(), sources.to_pylist(), sizes.to_pylist(), strict=True)]).reshape(len(texts), 2 * _HASHED + 3)
         return pa.StructArray.from_arrays([pa.array(p) for p in model.score(a, b)], ["p_text", "p_meta", "quality"])
 
-    scored = base.withColumn("td_scores", scores(*_columns(df, text_col)))
-    return scored.select(*named(base.columns), "td_scores.p_text", "td_scores.p_meta", "td_scores.quality", (F.col("td_scores.quality") >= KEEP_FROM).alias("is_good"))
+    out, back = aside(df, keep)
+    scored = df.select(*out, scores(*_columns(df, text_col)).alias("td_scores"))
+    return scored.select(*back, "td_scores.p_text", "td_scores.p_meta", "td_scores.quality", (F.col("td_scores.quality") >= KEEP_FROM).alias("is_good"))
 
 
 def op2(spark, sf_dir) -> DataFrame:
