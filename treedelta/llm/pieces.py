@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UnitTable, named, small_batches, table
+from .common import UnitTable, aside, named, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -118,8 +118,9 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
     if not Path(path).exists():
         raise FileNotFoundError(path)
     keep = [c for c in df.columns if c not in {"ids", "decoded"}]
-    rows = df.withColumn("td_coded", coded(F.col(text_col), path))
-    return rows.select(*named(keep), "td_coded.ids", "td_coded.decoded")
+    out, back = aside(df, keep)
+    rows = df.select(*out, coded(F.col(text_col), path).alias("td_coded"))
+    return rows.select(*back, "td_coded.ids", "td_coded.decoded")
 
 
 def digests(rows: DataFrame) -> DataFrame:
