@@ -77,8 +77,13 @@ class Forest:
         return np.flatnonzero(mark)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by its largest component, so that no square is too large or too small; cosines stay the same."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; a row's value doesn't depend on the rows around it."""
+    """Cosines of scaled vectors in double precision; a row's value doesn't depend on the rows around it."""
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -88,7 +93,7 @@ def _nearest(index: pa.Table, queries: pa.Table, nearest: int, effort: float) ->
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if index.num_rows and queries.num_rows:
         matrix = lambda t: np.stack([np.asarray(x, dtype=np.float64) for x in t.column("vec").to_pylist()])
-        own, asked, ids, asks = matrix(index), matrix(queries), index.column("ids").to_pylist(), queries.column("query_id").to_pylist()
+        own, asked, ids, asks = scaled(matrix(index)), scaled(matrix(queries)), index.column("ids").to_pylist(), queries.column("query_id").to_pylist()
         forest = Forest(own)
         low, high = forest.ranges(asked, min(len(own) * len(forest.sorted), max(32 * nearest, int(effort * len(own)))))
         for q, (query_id, a, b) in enumerate(zip(asks, low, high, strict=True)):
