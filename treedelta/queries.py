@@ -378,7 +378,16 @@ def uncovered_nodes(spark, sf_dir):
     return row_ops.uncovered(nodes.drop("stays"), nodes.filter("stays").select("pair_id", "node_id")).select("node_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, o_totalprice) AS i FROM orders),
+ends AS (
+  SELECT o_custkey, i, o_totalprice, 1 AS length FROM o
+  UNION ALL
+  SELECT DISTINCT o.o_custkey, o.i, o.o_totalprice, ends.length + 1 FROM ends JOIN o ON o.o_custkey = ends.o_custkey AND o.i > ends.i AND o.o_totalprice > ends.o_totalprice
+),
+longest AS (SELECT o_custkey, max(length) AS longest FROM ends GROUP BY o_custkey),
+counts AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY o_custkey)
+SELECT o_custkey, CAST(n AS INTEGER) AS n, CAST(longest AS INTEGER) AS longest FROM counts JOIN longest USING (o_custkey)""")
 def increasing_runs(spark, sf_dir):
     """Longest increasing run of each customer's order prices in time."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("prices"))
