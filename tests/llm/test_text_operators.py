@@ -173,6 +173,31 @@ def test_mixing_targets_and_sizes(spark):
     assert {r.copies for r in mixing.mix_sources(docs(spark, [(1, "a b c", "s", 1)] * 9)).collect()} == {1}
 
 
+def test_mixing_inclusion_probabilities(spark):
+    """300 sources of 40 documents each: how often a length class is drawn follows its inclusion probability."""
+    counts = {1: 10, 4: 10, 16: 10, 64: 5, 256: 4, 1024: 1}
+    total = sum(n * k for n, k in counts.items())
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"s{s:03d}", None) for s in range(300) for i, n in enumerate(n for n, k in counts.items() for _ in range(k))]
+    frame = docs(spark, rows)
+    for share in (0.3, 0.8, 1.8):
+        # The level by bisection.
+        missing = share % 1 * total
+        low, high = 0.0, 10.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1, mid * n**0.5) * n * k for n, k in counts.items()) < missing else (low, mid)
+        p = {n: min(1, low * n**0.5) for n in counts}
+        got = mixing.mix_sources(frame, weights=(1,), share=share).select("size", "inclusion", "copies", "source", "taken").toPandas()
+        assert all(abs(r.inclusion - p[r.size]) < 1e-9 for r in got.itertuples())
+        often = (got["copies"] - int(share)).groupby(got["size"]).mean()
+        # The last document of a draw fits by half only, which moves the longest ones by some hundredths.
+        assert all(abs(often[n] - p[n]) < 0.08 for n in counts), (share, often.to_dict(), p)
+        assert often[256] > 1.5 * often[4] if share < 1 else True
+        assert (got.groupby("source")["taken"].sum() - share * total).abs().max() <= 512
+    flat = mixing.mix_sources(frame, weights=(1,), share=0.3, power=0.0).select("inclusion").distinct().toPandas()["inclusion"]
+    assert (flat - 0.3).abs().max() < 1e-9
+
+
 # --- 6: media ---
 
 

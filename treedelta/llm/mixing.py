@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: Bins of the sampling rank of one source; only the bin at the boundary is ordered row by row.
 BINS = 4096
+#: A document's share of the draw grows with its length class to this power; 0 gives all documents of a source the same.
+POWER = 0.5
+#: Inclusion probabilities lie between this and 1 less this.
+LEAST = 1e-12
 #: Up to this many sources their plan is broadcast (below 100 bytes a source).
 BROADCAST_SOURCES = 100_000
 
@@ -22,6 +26,31 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def length_class(size: Column) -> Column:
+    """The largest power of two up to a positive size, as its exponent; so there are at most 63 classes."""
+    return F.length(F.bin(F.greatest(size, F.lit(1)))) - 1
+
+
+def measure(length: Column, power: float) -> Column:
+    """What inclusion probabilities are in proportion to."""
+    return F.pow(F.lit(2.0), length * F.lit(float(power)))
+
+
+def inclusion_levels(classes: DataFrame, missing: DataFrame, power: float) -> DataFrame:
+    """source and the level at which sum(min(1, level * measure) * size) over its documents is what it misses.
+
+    classes has source, length and size, missing has source and missing.  The largest classes are
+    certain first, the rest is shared out again; a window holds the classes of one source.
+    """
+    rows = classes.filter("size > 0").withColumn("measure", measure(F.col("length"), power))
+    both = rows.join(missing.select(F.col("source").alias("of"), "missing"), F.col("source").eqNullSafe(F.col("of"))).filter("missing > 0")
+    largest = Window.partitionBy("source").orderBy(F.col("measure").desc(), F.col("length").desc())
+    before, rest = largest.rowsBetween(Window.unboundedPreceding, -1), largest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("missing") - F.coalesce(F.sum("size").over(before), F.lit(0))) / F.sum(F.col("measure") * F.col("size")).over(rest)
+    # Levels that leave their own class below 1 are of classes that aren't certain; the least is that of the first one.
+    return both.withColumn("level", level).filter(F.col("level") * F.col("measure") <= 1).groupBy("source").agg(F.max_by("level", F.struct("measure", "length")).alias("level"))
+
+
 def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST_COPIES) -> DataFrame:
     """Each source's size and target.
 
@@ -49,40 +78,47 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: f
     )
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, seed: int = 17) -> DataFrame:
-    """Every input row with size, source_size, target, copies and taken (words the mix takes).
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, seed: int = 17, power: float = POWER) -> DataFrame:
+    """Every input row with size, source_size, target, inclusion, copies and taken (words the mix takes).
 
     A source takes each document floor(target / size) times for certain.  What is missing to the
     target is drawn by Pareto order sampling: document i has the rank
-    (u / (1 - u)) / (p / (1 - p)), with u from a hash of its id and text and p the share of the
-    source that is missing, so that the mix as a whole is an unequal-probability sample.
-    Documents are taken in the order of ranks as long as at least half of the next one fits; the
-    sample's size in words is thus fixed to half a document.
+    (u / (1 - u)) / (p / (1 - p)), with u from a hash of its id and text and p its own inclusion
+    probability.  p is min(1, level * 2 ** (power * length class)), where a level per source makes
+    the expected words those that are missing: longer documents are drawn more often, those
+    that would exceed 1 are certain and the rest is shared out again.  Documents are taken in the
+    order of ranks as long as at least half of the next one fits; the sample's size in words is thus
+    fixed to half a document.
 
-    The first pass keeps the sizes only.  Ranks are summed in 4,096 bins of a source and ordered
-    row by row only in the bin where the target is reached, so that no task holds a whole source;
-    this gives one rank per source up to which documents are taken.  The second pass applies it.
+    The first pass keeps the sizes only.  Ranks r are summed in 4,096 bins of r / (1 + r) in a source
+    and ordered row by row only in the bin where the target is reached, so that no task holds a whole
+    source; this gives one rank per source up to which documents are taken.  The second pass applies it.
 
     Null sources form one source; null and empty texts have size 0 and are never taken; equal
     rows are taken equally often; an empty table gives an empty one.  All other columns are
-    kept; size, source_size, target, copies and taken replace input columns of these names.
+    kept; size, source_size, target, inclusion, copies and taken replace input columns of these names.
     """
-    keep = [c for c in df.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
+    keep = [c for c in df.columns if c not in {"size", "source_size", "target", "inclusion", "copies", "taken"}]
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     sizes = written(df.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), u.alias("u")), "sizes")
-    plan = source_plan(sizes, weights, share)
+    classes = written(sizes.groupBy("source", length_class(F.col("size")).alias("length")).agg(F.sum("size").alias("size")), "classes")
+    plan = source_plan(classes, weights, share)
     certain = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_COPIES)).cast("long")
     plan = plan.withColumn("certain", F.when(F.col("source_size") > 0, certain).otherwise(F.lit(0).cast("long")))
     plan = written(plan.withColumn("missing", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))), "plan")
     few = plan.count() <= BROADCAST_SOURCES
-    known = plan.select(F.col("source").alias("td_source"), "source_size", "target", F.col("certain").alias("td_certain"), F.col("missing").alias("td_missing"))
+    levels = inclusion_levels(classes, plan, power).select(F.col("source").alias("td_of"), F.col("level").alias("td_level"))
+    known = plan.join(levels, F.col("source").eqNullSafe(F.col("td_of")), "left").select(F.col("source").alias("td_source"), "source_size", "target", F.col("certain").alias("td_certain"), F.col("missing").alias("td_missing"), F.coalesce("td_level", F.lit(0.0)).alias("td_level"))
+    known = written(known, "known")
 
     def beside(rows: DataFrame, other: DataFrame, source: str) -> DataFrame:
         return rows.join(F.broadcast(other) if few else other, F.col(source).eqNullSafe(F.col("td_source")), "left").drop("td_source")
 
-    share_missing = F.least(F.greatest(F.col("td_missing") / F.col("source_size"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    rank = lambda draw: (draw / (1 - draw)) / (share_missing / (1 - share_missing))
-    some = beside(sizes.filter("size > 0"), known, "source").withColumn("rank", rank(F.col("u"))).withColumn("bin", F.least(F.floor(F.col("u") * BINS), F.lit(BINS - 1)))
+    p = F.least(F.greatest(F.col("td_level") * measure(length_class(F.col("size")), power), F.lit(LEAST)), F.lit(1 - LEAST))
+    rank = lambda draw: (draw / (1 - draw)) / (p / (1 - p))
+    # Sources that miss nothing have no draw.
+    some = beside(sizes.filter("size > 0"), known, "source").filter("td_missing > 0").withColumn("rank", rank(F.col("u")))
+    some = some.withColumn("bin", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * BINS), F.lit(BINS - 1)))
     up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         some.groupBy("source", "bin")
@@ -109,7 +145,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     fits = F.when(F.col("td_cut").isNotNull(), at < F.col("td_cut")).when(F.col("td_top").isNotNull(), at <= F.col("td_top")).otherwise(F.col("td_missing") > 0)
     extra = (fits & (F.col("size") > 0)).cast("int")
     copies = F.when(F.col("size") > 0, F.least(F.col("td_certain") + extra, F.lit(MOST_COPIES))).otherwise(F.lit(0)).cast("long")
-    return rows.select(*back, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    drawn = F.when((F.col("size") > 0) & (F.col("td_missing") > 0), p).otherwise(F.lit(0.0))
+    return rows.select(*back, "size", "source_size", "target", drawn.alias("inclusion"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op4(spark, sf_dir) -> DataFrame:
