@@ -135,6 +135,20 @@ def test_pieces_match_the_library(spark, texts):
     assert pieces.encode_documents(docs(spark, [])).count() == 0
 
 
+def test_pieces_of_blocks_and_long_lists(spark):
+    """A document with more distinct chunks than 16 bits count, between others, and blocks that end within a batch."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(1, "a b", None, 1), (2, " ".join(f"{i:x}q" for i in range(70_000)), None, 2), (3, "b a\n", None, 3), (4, None, None, 4)]
+    rows += [(10 + i, " ".join(f"{j * 7919 + i}" for j in range(30_000)), None, i) for i in range(5)]
+    got = pieces.encode_documents(docs(spark, rows).coalesce(1)).collect()
+    assert len(got) == len(rows) and all(r.ids == model.encode(r.text or "") and r.decoded == model.decode(r.ids) for r in got)
+    chunks = spark.createDataFrame([("▁a",), ("▁b",), ("▁a",), ("\n",)], "chunk string")
+    segmented = pieces.chunk_ids(chunks, pieces.public_model()).collect()
+    assert sorted(r.chunk for r in segmented) == ["\n", "▁a", "▁b"]
+
+
 # --- 4: mixing ---
 
 

@@ -2,36 +2,45 @@
 
 No piece of the model crosses from other characters to a whitespace mark, and none holds a line
 feed.  So a marked text falls apart into chunks (marks, then other characters up to the next mark or
-line feed; or one line feed) that are segmented alone.  Each Python worker keeps a table of the
-chunks that it has met: a batch's new ones are segmented once by the library, and every chunk's ids
-are then joined back by position.  The table is kept beside the texts rather than shuffled to:
-joining by chunk would move each word of the corpus twice.  It holds two generations of TABLE_CHUNKS
-entries at most, of which the older goes when the younger is full; long chunks only last for their
-batch.
+line feed; or one line feed) that are segmented alone.
+
+The texts are read once, into blocks of documents: a block has a list of its distinct chunks, and each
+of its documents the places of its chunks in that list, 16 bits each.  The blocks' lists make one table of
+distinct chunks, shuffled by chunk, in which each is segmented once by the library.  The ids go back
+to each block's list by a join, one row per block and distinct chunk, and from there to the documents
+by position, block by block.  A frequent chunk thus stands in the join once per block, not once per
+word, and the texts themselves aren't shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UnitTable, aside, named, small_batches, table
+from .common import aside, fresh_path, named, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-TABLE_CHUNKS = 400_000
-LONG_CHUNK = 200
+#: A block takes documents up to so many characters and rows, or one longer document.
+BLOCK_CHARS, BLOCK_ROWS = 6 << 20, 16_384
+#: Places of a block with at most so many distinct chunks fit 16 bits; only a block of one document has more.
+NARROW = 1 << 16
+#: What a model's normaliser must leave alone but for the marks.
+PROBES = ("a  b", " a ", "\ufb01 \u212b \uff41\t\xa0b", "a\nb", "e\u0301 \xe9", "A\u200bb")
 
 
 class Pieces:
-    """A model with its table of distinct chunks."""
+    """A model whose chunks can be segmented alone; others are refused."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -40,22 +49,17 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross whitespace marks")
-        self.mark = self.model.piece_to_id(MARK)
-        self.table = UnitTable(self._segmented, TABLE_CHUNKS, LONG_CHUNK)
+        if any(self.model.normalize(t) != MARK + t.replace(" ", MARK) for t in PROBES):
+            raise ValueError("this model's normaliser changes texts beyond whitespace marks")
         byte = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else None for i, p in enumerate(pieces)]
         plain = lambda i, p: b"" if self.model.is_control(i) else byte[i] or p.replace(MARK, " ").encode()
         self.spelled = [None if self.model.is_unknown(i) else plain(i, p) for i, p in enumerate(pieces)]
 
-    def _segmented(self, chunks: list[str]) -> list[bytes]:
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids as little-endian 32-bit integers."""
         # After a line feed the library sees no start of text; the mark and the line feed before it go.
         return [np.array(x[2:], dtype="<i4").tobytes() for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.table.of(set().union(*split))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
     def decode(self, ids: list[int]) -> str:
         """The library's decode(ids), from spelled pieces where these are valid UTF-8."""
         try:
@@ -76,17 +80,67 @@ def _listed(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
-def coded(text: Column, path: str) -> Column:
-    """(ids, decoded): array<int> and what the ids decode to, in one pass; a null or empty text has no ids and decodes to the empty text."""
-
-    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
-    def both(texts: pa.Array) -> pa.Array:
+def _null_rows(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a schema in which the columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """td_block and td_places beside the other columns in place of td_text, and one row with td_chunks per block."""
+    block = TaskContext.get().partitionId() << 32
+    known, chars, rows, schema = _numbering(), 0, 0, None
+    for batch in batches:
+        blocks, places, lists = [], [], []
+        for text in batch.column("td_text").to_pylist():
+            chunks = CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+            more = rows and (chars + len(text or "") > BLOCK_CHARS or rows == BLOCK_ROWS)
+            if more or (rows and len(known) + len(chunks) > NARROW and len(known.keys() | set(chunks)) > NARROW):
+                lists.append((block, list(known)))
+                block, known, chars, rows = block + 1, _numbering(), 0, 0
+            at = list(map(known.__getitem__, chunks))
+            blocks.append(block)
+            places.append(np.array(at, dtype="<u2" if len(known) <= NARROW else "<u4").tobytes())
+            chars, rows = chars + len(text or ""), rows + 1
+            if len(known) > NARROW:
+                chars = BLOCK_CHARS + 1
+        own = [f for f in batch.schema if f.name != "td_text"]
+        schema = pa.schema([("td_block", pa.int64()), ("td_places", pa.binary()), ("td_chunks", pa.list_(pa.string())), *[(f.name, f.type) for f in own]])
+        yield _null_rows(schema, len(blocks), td_block=pa.array(blocks, pa.int64()), td_places=pa.array(places, pa.binary()), **{f.name: batch.column(f.name) for f in own})
+        for number, chunks in lists:
+            yield _null_rows(schema, 1, td_block=pa.array([number], pa.int64()), td_chunks=pa.array([chunks], pa.list_(pa.string())))
+    if rows:
+        yield _null_rows(schema, 1, td_block=pa.array([block], pa.int64()), td_chunks=pa.array([list(known)], pa.list_(pa.string())))
+
+
+def _numbering() -> defaultdict:
+    """Gives each new key the next number."""
+    known = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
+def _joined(path: str, names: list[str]):
+    """Of one block: the documents with their places, and the ids of its chunks; gives the documents with ids and decoded."""
+
+    def join(documents: pa.Table, chunks: pa.Table) -> pa.Table:
         own = pieces(path)
-        ids = own.encode(texts.to_pylist())
+        of = chunks.column("td_ids").to_pylist()[0] if chunks.num_rows else []
+        width = "<u2" if len(of) <= NARROW else "<u4"
+        ids = [b"".join(map(of.__getitem__, np.frombuffer(p, dtype=width).tolist())) for p in documents.column("td_places").to_pylist()]
         back = [own.decode(np.frombuffer(x, dtype="<i4").tolist()) if x else "" for x in ids]
-        return pa.StructArray.from_arrays([_listed(ids), pa.array(back, pa.string())], ["ids", "decoded"])
+        return pa.table([*[documents.column(n) for n in names], _listed(ids), pa.array(back, pa.string())], [*names, "td_ids", "td_decoded"])
+
+    return join
+
+
+def chunk_ids(chunks: DataFrame, path: str) -> DataFrame:
+    """chunk and ids (binary) of each distinct chunk."""
+
+    @F.arrow_udf(T.BinaryType())
+    def segment(column: pa.Array) -> pa.Array:
+        return pa.array(pieces(path).segment(column.to_pylist()), pa.binary())
 
-    return both(text)
+    return chunks.select("chunk").distinct().select("chunk", segment("chunk").alias("ids"))
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -107,20 +161,33 @@ def public_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """The input rows with `ids` (array<int>, without begin or end ids) and `decoded`.
+def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows with `ids` (array<int>, without begin or end ids) and `decoded`, beside the columns named in keep (all, if not given).
 
     A null or empty text has no ids and decodes to the empty text.  Columns named ids or decoded are
-    replaced, others are kept; equal rows get equal ids, an empty table gives an empty one.
+    replaced; equal rows get equal ids, an empty table gives an empty one.  Kept columns are shuffled
+    once with the places, so leave out the text where it isn't needed.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     path = path or public_model()
     if not Path(path).exists():
         raise FileNotFoundError(path)
-    keep = [c for c in df.columns if c not in {"ids", "decoded"}]
-    out, back = aside(df, keep)
-    rows = df.select(*out, coded(F.col(text_col), path).alias("td_coded"))
-    return rows.select(*back, "td_coded.ids", "td_coded.decoded")
+    out, back = aside(df, [c for c in (df.columns if keep is None else keep) if c not in {"ids", "decoded"}])
+    rows = df.select(*out, F.col(f"`{text_col}`").cast("string").alias("td_text"))
+    kept = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "td_text"]
+    fixed = [T.StructField("td_block", T.LongType()), T.StructField("td_places", T.BinaryType()), T.StructField("td_chunks", T.ArrayType(T.StringType()))]
+    whole = T.StructType([*fixed, *kept])
+    at = fresh_path(spark, "blocks")
+    rows.mapInArrow(_blocks, whole).write.option("compression", "zstd").parquet(at)
+    blocks = spark.read.schema(whole).parquet(at)
+    documents = blocks.filter("td_places IS NOT NULL").drop("td_chunks")
+    lists = blocks.filter("td_chunks IS NOT NULL").select("td_block", F.posexplode("td_chunks").alias("place", "chunk"))
+    found = lists.join(chunk_ids(lists, path), "chunk").groupBy("td_block").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("all"))
+    found = found.select(F.col("td_block").alias("td_of"), F.col("all.ids").alias("td_ids"))
+    result = T.StructType([*kept, T.StructField("td_ids", T.ArrayType(T.IntegerType())), T.StructField("td_decoded", T.StringType())])
+    done = documents.groupBy("td_block").cogroup(found.groupBy("td_of")).applyInArrow(_joined(path, [f.name for f in kept]), result)
+    return done.select(*back, F.col("td_ids").alias("ids"), F.col("td_decoded").alias("decoded"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -135,10 +202,11 @@ def digests(rows: DataFrame) -> DataFrame:
 
 def op3(spark, sf_dir) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The ids of each document; the text goes."""
     del spark, sf_dir
-    return encode_documents(docs).select(*named([c for c in docs.columns if c not in {"text", "ids"}]), "ids")
+    keep = [c for c in docs.columns if c not in {"text", "ids"}]
+    return encode_documents(docs, keep=keep).select(*named(keep), "ids")
