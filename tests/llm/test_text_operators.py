@@ -135,18 +135,40 @@ def test_pieces_match_the_library(spark, texts):
     assert pieces.encode_documents(docs(spark, [])).count() == 0
 
 
-def test_pieces_of_blocks_and_long_lists(spark):
-    """A document with more distinct chunks than 16 bits count, between others, and blocks that end within a batch."""
+def test_pieces_of_several_blocks(spark, monkeypatch):
+    """Blocks that end within a batch, a document longer than a block, and one table of distinct chunks."""
+    import pyarrow as pa
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    rows = [(1, "a b", None, 1), (2, " ".join(f"{i:x}q" for i in range(70_000)), None, 2), (3, "b a\n", None, 3), (4, None, None, 4)]
-    rows += [(10 + i, " ".join(f"{j * 7919 + i}" for j in range(30_000)), None, i) for i in range(5)]
-    got = pieces.encode_documents(docs(spark, rows).coalesce(1)).collect()
-    assert len(got) == len(rows) and all(r.ids == model.encode(r.text or "") and r.decoded == model.decode(r.ids) for r in got)
-    chunks = spark.createDataFrame([("▁a",), ("▁b",), ("▁a",), ("\n",)], "chunk string")
-    segmented = pieces.chunk_ids(chunks, pieces.public_model()).collect()
-    assert sorted(r.chunk for r in segmented) == ["\n", "▁a", "▁b"]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["a b", None, " ".join(f"{i:x}q" for i in range(70_000)), "", "b a\n\nb", *[" ".join(f"{j * 7919 + i}" for j in range(3000)) for i in range(5)]]
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 30_000)
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(pieces.TaskContext, "get", staticmethod(lambda: Task))
+    batch = pa.RecordBatch.from_pydict({"td_kept_0": pa.array(range(len(texts)), pa.int64()), "td_text": texts})
+    rows = pa.Table.from_batches(list(pieces._blocks(7)(iter([batch, batch])))).to_pylist()
+    numbers = {r["td_block"] for r in rows}
+    assert len(numbers) > 4
+    lists = sorted((r for r in rows if r["td_chunks"] is not None), key=lambda r: r["td_bucket"])
+    asked = []
+    segment = pieces.Pieces.segment
+    monkeypatch.setattr(pieces.Pieces, "segment", lambda self, chunks: asked.extend(chunks) or segment(self, chunks))
+    schema = [("td_block", pa.int64()), ("td_bucket", pa.int32()), ("td_places", pa.binary()), ("td_chunks", pa.binary())]
+    each = [pa.RecordBatch.from_pylist([{n: r[n] for n, _ in schema} for r in lists[i : i + 3]], schema=pa.schema(schema)) for i in range(0, len(lists), 3)]
+    found = pa.Table.from_batches(list(pieces._segmented(path)(iter(each))))
+    assert len(asked) == len(set(asked)) > 70_000
+    whole = pa.Table.from_pylist([r for r in rows if r["td_chunks"] is None])
+    got = []
+    for number in numbers:
+        here = whole.filter(pa.compute.equal(whole["td_block"], number))
+        got += pieces._joined(path, ["td_kept_0"])(here, found.filter(pa.compute.equal(found["td_of"], number))).to_pylist()
+    assert sorted(r["td_kept_0"] for r in got) == sorted(2 * list(range(len(texts))))
+    for r in got:
+        assert r["td_ids"] == model.encode(texts[r["td_kept_0"]] or "") and r["td_decoded"] == model.decode(r["td_ids"])
 
 
 # --- 4: mixing ---

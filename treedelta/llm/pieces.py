@@ -4,17 +4,18 @@ No piece of the model crosses from other characters to a whitespace mark, and no
 feed.  So a marked text falls apart into chunks (marks, then other characters up to the next mark or
 line feed; or one line feed) that are segmented alone.
 
-The texts are read once, into blocks of documents: a block has a list of its distinct chunks, and each
-of its documents the places of its chunks in that list, 16 bits each.  The blocks' lists make one table of
-distinct chunks, shuffled by chunk, in which each is segmented once by the library.  The ids go back
-to each block's list by a join, one row per block and distinct chunk, and from there to the documents
-by position, block by block.  A frequent chunk thus stands in the join once per block, not once per
-word, and the texts themselves aren't shuffled.
+The texts are read once, into blocks of documents: a block has a list of its distinct chunks, and its
+documents are the places of their chunks in that list, packed.  The blocks' lists, dealt by buckets of
+chunks, make one table of distinct chunks: a bucket's chunks meet in one task, which segments each
+once by the library.  The ids go back to their block, and from there to the documents by position.  A
+frequent chunk thus is dealt once per block, not once per word; the documents stay in files bucketed by block.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -22,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +33,10 @@ from .common import aside, fresh_path, named, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: A block takes documents up to so many characters and rows, or one longer document.
-BLOCK_CHARS, BLOCK_ROWS = 6 << 20, 16_384
-#: Places of a block with at most so many distinct chunks fit 16 bits; only a block of one document has more.
-NARROW = 1 << 16
+#: A block takes documents up to so many characters, or one longer document.
+BLOCK_CHARS = 20 << 20
+#: Buckets of chunks for each shuffle partition; a task holds the distinct chunks of one bucket at a time.
+BUCKETS_EACH = 2
 #: What a model's normaliser must leave alone but for the marks.
 PROBES = ("a  b", " a ", "\ufb01 \u212b \uff41\t\xa0b", "a\nb", "e\u0301 \xe9", "A\u200bb")
 
@@ -55,10 +57,10 @@ class Pieces:
         plain = lambda i, p: b"" if self.model.is_control(i) else byte[i] or p.replace(MARK, " ").encode()
         self.spelled = [None if self.model.is_unknown(i) else plain(i, p) for i, p in enumerate(pieces)]
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk's ids as little-endian 32-bit integers."""
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Each chunk's ids."""
         # After a line feed the library sees no start of text; the mark and the line feed before it go.
-        return [np.array(x[2:], dtype="<i4").tobytes() for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
+        return [x[2:] for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode(ids), from spelled pieces where these are valid UTF-8."""
@@ -75,9 +77,22 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _listed(ids: list[bytes]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed(values: list[int] | np.ndarray) -> bytes:
+    """Integers below 2**32, byte plane by byte plane."""
+    return _shrunk(np.ascontiguousarray(np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_grown(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _null_rows(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -85,64 +100,124 @@ def _null_rows(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """td_block and td_places beside the other columns in place of td_text, and one row with td_chunks per block."""
-    block = TaskContext.get().partitionId() << 32
-    known, chars, rows, schema = _numbering(), 0, 0, None
-    for batch in batches:
-        blocks, places, lists = [], [], []
-        for text in batch.column("td_text").to_pylist():
-            chunks = CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
-            more = rows and (chars + len(text or "") > BLOCK_CHARS or rows == BLOCK_ROWS)
-            if more or (rows and len(known) + len(chunks) > NARROW and len(known.keys() | set(chunks)) > NARROW):
-                lists.append((block, list(known)))
-                block, known, chars, rows = block + 1, _numbering(), 0, 0
-            at = list(map(known.__getitem__, chunks))
-            blocks.append(block)
-            places.append(np.array(at, dtype="<u2" if len(known) <= NARROW else "<u4").tobytes())
-            chars, rows = chars + len(text or ""), rows + 1
-            if len(known) > NARROW:
-                chars = BLOCK_CHARS + 1
-        own = [f for f in batch.schema if f.name != "td_text"]
-        schema = pa.schema([("td_block", pa.int64()), ("td_places", pa.binary()), ("td_chunks", pa.list_(pa.string())), *[(f.name, f.type) for f in own]])
-        yield _null_rows(schema, len(blocks), td_block=pa.array(blocks, pa.int64()), td_places=pa.array(places, pa.binary()), **{f.name: batch.column(f.name) for f in own})
-        for number, chunks in lists:
-            yield _null_rows(schema, 1, td_block=pa.array([number], pa.int64()), td_chunks=pa.array([chunks], pa.list_(pa.string())))
-    if rows:
-        yield _null_rows(schema, 1, td_block=pa.array([block], pa.int64()), td_chunks=pa.array([list(known)], pa.list_(pa.string())))
-
-
-def _numbering() -> defaultdict:
-    """Gives each new key the next number."""
-    known = defaultdict()
-    known.default_factory = known.__len__
-    return known
+class _Block:
+    """Documents whose chunks are numbered together."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.chars, self.slabs = number, 0, 0
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__  # each new chunk gets the next number
+
+    def lists(self, buckets: int) -> dict[int, list[str]]:
+        """The chunks of each bucket."""
+        found = defaultdict(list)
+        for c in self.known:
+            found[zlib.crc32(c.encode()) % buckets].append(c)
+        return found
+
+
+def _blocks(buckets: int):
+    """Rows of three forms: a document with td_slab and td_n (how many chunks it has) and the columns beside
+    td_text; a slab's td_places, those of its documents together; and a block's td_chunks of one td_bucket with their td_places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, schema = _Block(TaskContext.get().partitionId() << 32), None
+
+        def slab(batch: pa.RecordBatch, places: list[list[int]]) -> Iterator[pa.RecordBatch]:
+            n = len(places)
+            same = lambda value, type_, k: pa.array([value] * k, type_)
+            at = {"td_block": (block.number, pa.int64()), "td_slab": (block.slabs, pa.int32())}
+            own = {f.name: batch.column(f.name) for f in batch.schema if f.name != "td_text"}
+            yield _null_rows(schema, n, td_seq=pa.array(range(n), pa.int32()), td_n=pa.array(list(map(len, places)), pa.int64()), **{c: same(*x, n) for c, x in at.items()}, **own)
+            yield _null_rows(schema, 1, td_places=pa.array([_packed([x for p in places for x in p])], pa.binary()), **{c: same(*x, 1) for c, x in at.items()})
+            block.slabs += 1
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            found = block.lists(buckets)
+            if not found:
+                return
+            # No chunk but the line feed itself holds one.
+            texts = [_shrunk("\n".join("" if c == "\n" else c for c in x).encode()) for x in found.values()]
+            # Ascending places, as steps.
+            places = [_packed(np.diff([block.known[c] for c in x], prepend=0)) for x in found.values()]
+            number = pa.array([block.number] * len(found), pa.int64())
+            yield _null_rows(schema, len(found), td_block=number, td_bucket=pa.array(list(found), pa.int32()), td_places=pa.array(places, pa.binary()), td_chunks=pa.array(texts, pa.binary()))
+
+        for batch in batches:
+            if schema is None:
+                fixed = [("td_block", pa.int64()), ("td_slab", pa.int32()), ("td_seq", pa.int32()), ("td_n", pa.int64()), ("td_bucket", pa.int32()), ("td_places", pa.binary()), ("td_chunks", pa.binary())]
+                schema = pa.schema([*fixed, *[(f.name, f.type) for f in batch.schema if f.name != "td_text"]])
+            places, start = [], 0
+            for i, text in enumerate(batch.column("td_text").to_pylist()):
+                size = len(text or "")
+                if block.chars and block.chars + size > BLOCK_CHARS:
+                    if places:
+                        yield from slab(batch.slice(start, len(places)), places)
+                    yield from lists()
+                    block, places, start = _Block(block.number + 1), [], i
+                places.append(list(map(block.known.__getitem__, CHUNK.findall(MARK + text.replace(" ", MARK)))) if text else [])
+                block.chars += size
+            if places:
+                yield from slab(batch.slice(start, len(places)), places)
+        if schema is not None:
+            yield from lists()
+
+    return run
+
+
+def _segmented(path: str):
+    """The ids of lists of chunks that come bucket by bucket; a chunk is segmented once, for its bucket is in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, known = pieces(path), None, {}
+        for batch in batches:
+            counts, ids = [], []
+            for bucket, text in zip(batch.column("td_bucket").to_pylist(), batch.column("td_chunks").to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                chunks = [c or "\n" for c in _grown(text).decode().split("\n")]
+                new = [c for c in chunks if c not in known]
+                known.update(zip(new, own.segment(new), strict=True))
+                found = list(map(known.__getitem__, chunks))
+                counts.append(_packed(list(map(len, found))))
+                ids.append(_packed([x for f in found for x in f]))
+            yield pa.RecordBatch.from_arrays([batch.column("td_block"), batch.column("td_places"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["td_of", "td_at", "td_counts", "td_ids"])
+
+    return run
 
 
 def _joined(path: str, names: list[str]):
-    """Of one block: the documents with their places, and the ids of its chunks; gives the documents with ids and decoded."""
+    """Of one block: its documents and slabs, and the ids of its chunks; gives the documents with ids and decoded."""
 
-    def join(documents: pa.Table, chunks: pa.Table) -> pa.Table:
+    def join(rows: pa.Table, found: pa.Table) -> pa.Table:
         own = pieces(path)
-        of = chunks.column("td_ids").to_pylist()[0] if chunks.num_rows else []
-        width = "<u2" if len(of) <= NARROW else "<u4"
-        ids = [b"".join(map(of.__getitem__, np.frombuffer(p, dtype=width).tolist())) for p in documents.column("td_places").to_pylist()]
-        back = [own.decode(np.frombuffer(x, dtype="<i4").tolist()) if x else "" for x in ids]
-        return pa.table([*[documents.column(n) for n in names], _listed(ids), pa.array(back, pa.string())], [*names, "td_ids", "td_decoded"])
+        at, counts, ids = ([_unpacked(x) for x in found.column(c).to_pylist()] for c in ("td_at", "td_counts", "td_ids"))
+        at = [np.cumsum(x) for x in at]
+        at, counts, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, counts, ids))
+        length, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        length[at], start[at] = counts, np.cumsum(counts) - counts
+        is_slab = pc.is_null(rows.column("td_n"))
+        slabs = rows.filter(is_slab)
+        places = dict(zip(slabs.column("td_slab").to_pylist(), slabs.column("td_places").to_pylist(), strict=True))
+        documents = rows.filter(pc.invert(is_slab)).sort_by([("td_slab", "ascending"), ("td_seq", "ascending")])
+        slab_of, n_of = (documents.column(c).to_numpy() for c in ("td_slab", "td_n"))
+        sizes, values, texts = [], [], []
+        for s in sorted(places):
+            place, n = _unpacked(places[s]), n_of[slab_of == s]
+            long = length[place]
+            ends = np.cumsum(long)
+            here = ids[np.repeat(start[place] - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)]
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+            texts += [own.decode(here[a:b].tolist()) if b > a else "" for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sizes.append(np.diff(edges))
+            values.append(here.astype("<i4"))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+        return pa.table([*[documents.column(n) for n in names], lists, pa.array(texts, pa.string())], [*names, "td_ids", "td_decoded"])
 
     return join
 
 
-def chunk_ids(chunks: DataFrame, path: str) -> DataFrame:
-    """chunk and ids (binary) of each distinct chunk."""
-
-    @F.arrow_udf(T.BinaryType())
-    def segment(column: pa.Array) -> pa.Array:
-        return pa.array(pieces(path).segment(column.to_pylist()), pa.binary())
-
-    return chunks.select("chunk").distinct().select("chunk", segment("chunk").alias("ids"))
-
-
 def decoded(ids: Column, path: str) -> Column:
     """The text of ids; null for null ids."""
 
@@ -165,7 +240,7 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
     """The rows with `ids` (array<int>, without begin or end ids) and `decoded`, beside the columns named in keep (all, if not given).
 
     A null or empty text has no ids and decodes to the empty text.  Columns named ids or decoded are
-    replaced; equal rows get equal ids, an empty table gives an empty one.  Kept columns are shuffled
+    replaced; equal rows get equal ids, an empty table gives an empty one.  Kept columns are written
     once with the places, so leave out the text where it isn't needed.
     """
     spark = df.sparkSession
@@ -176,15 +251,17 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
     out, back = aside(df, [c for c in (df.columns if keep is None else keep) if c not in {"ids", "decoded"}])
     rows = df.select(*out, F.col(f"`{text_col}`").cast("string").alias("td_text"))
     kept = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "td_text"]
-    fixed = [T.StructField("td_block", T.LongType()), T.StructField("td_places", T.BinaryType()), T.StructField("td_chunks", T.ArrayType(T.StringType()))]
-    whole = T.StructType([*fixed, *kept])
-    at = fresh_path(spark, "blocks")
-    rows.mapInArrow(_blocks, whole).write.option("compression", "zstd").parquet(at)
-    blocks = spark.read.schema(whole).parquet(at)
-    documents = blocks.filter("td_places IS NOT NULL").drop("td_chunks")
-    lists = blocks.filter("td_chunks IS NOT NULL").select("td_block", F.posexplode("td_chunks").alias("place", "chunk"))
-    found = lists.join(chunk_ids(lists, path), "chunk").groupBy("td_block").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("all"))
-    found = found.select(F.col("td_block").alias("td_of"), F.col("all.ids").alias("td_ids"))
+    whole = T.StructType([*T.StructType.fromDDL("td_block long, td_slab int, td_seq int, td_n long, td_bucket int, td_places binary, td_chunks binary"), *kept])
+    # Files bucketed by block: the documents are joined where they lie.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at, name = fresh_path(spark, "blocks"), f"treedelta_blocks_{uuid.uuid4().hex}"
+    rows.mapInArrow(_blocks(BUCKETS_EACH * parts), whole).write.option("compression", "zstd").option("path", at).bucketBy(parts, "td_block").format("parquet").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay in the shared folder
+    documents = blocks.filter("td_bucket IS NULL").drop("td_bucket", "td_chunks")
+    lists = blocks.filter("td_bucket IS NOT NULL").select("td_block", "td_bucket", "td_places", "td_chunks")
+    by_bucket = lists.repartition("td_bucket").sortWithinPartitions("td_bucket")
+    found = by_bucket.mapInArrow(_segmented(path), "td_of long, td_at binary, td_counts binary, td_ids binary")
     result = T.StructType([*kept, T.StructField("td_ids", T.ArrayType(T.IntegerType())), T.StructField("td_decoded", T.StringType())])
     done = documents.groupBy("td_block").cogroup(found.groupBy("td_of")).applyInArrow(_joined(path, [f.name for f in kept]), result)
     return done.select(*back, F.col("td_ids").alias("ids"), F.col("td_decoded").alias("decoded"))
