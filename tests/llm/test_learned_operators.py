@@ -86,6 +86,30 @@ def test_near_duplicates_find_all_similar_pairs(spark):
     assert all(got[i].class_id <= i for i in ids) and sum(r.is_kept for r in got.values()) == len({r.class_id for r in got.values()})
 
 
+def test_near_duplicates_compare_few_of_many_strays(spark, monkeypatch):
+    # Texts that share a long passage and have one near copy each: none is near another's copies, yet all that they hold is common.
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(10_000 + i, f"f{i} g{i} h{i} k{i} l{i}", 1) for i in range(1500)]
+    for k in range(150):
+        own = [f"o{k}_{i}" for i in range(60 + k % 7)]
+        rows.append((2 * k, f"{passage} {' '.join(own)}", 1))
+        own[int(rng.integers(len(own)))] = "x"
+        rows.append((2 * k + 1, f"{passage} {' '.join(own)}", 1))
+    compared, near = [], neardup._near
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return near(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_near", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in _near(spark, rows).collect()}
+    assert all(got[2 * k][0] == got[2 * k + 1][0] == 2 * k for k in range(150))
+    assert sum(compared[1:]) <= 300, compared
+    # Hubs don't depend on the order in which rows come, nor do the links found.
+    assert got == {r.doc_id: (r.class_id, r.n_links) for r in _near(spark, rows[::-1]).collect()}
+
+
 def test_weighted_samples_agree_as_often_as_similarity(spark):
     rng = np.random.default_rng(2)
     keys = np.sort(rng.choice(2**32, 400, replace=False)).astype(np.uint32)

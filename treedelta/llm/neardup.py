@@ -10,12 +10,16 @@ its buckets.
 
 Texts of equal words are one node.  Two nodes link if the weighted Jaccard similarity of their whole
 vectors is 0.8 or more.  In each bucket all nodes are first compared with one hub, the node with the most
-company in its other buckets.  The strays, nodes that aren't in the hub's class then, become hubs themselves, in
-rounds of up to 64, 4096 and so on of a bucket, and are compared with the bucket's nodes of other
-classes, but for those that can't be near: two nodes share no more than what either has in common with
-any other node.  A stray that joins the hub's class before its turn needs none.  So each round is
-linear in its bucket, no link between classes is lost within a bucket, and no pair within a class is
-formed.  Lost are pairs that share no bucket: (1 - s^ROWS)^BANDS of those of similarity s, 0.06 % at 0.8.
+company in its other buckets.  Open are then the nodes of buckets that hold strays, nodes outside their hub's
+class.  Of the pairs of a bucket only those are formed that can be near, told by an exact prefix filter: in one
+order of all shingles, rare ones first, the first shingle that two near nodes share has before it at most
+1 - threshold of the weight of either.  Each open node has these shingles as keys, with its weight
+from there on, of which two nodes share no more than the lesser; a node leaves a key at which no other
+node's size and weight could make it near.  Keys whose nodes are of one class go.  At the others,
+nodes outside the key's largest class become hubs, in rounds of up to 64, 4096 and so on of a key, and are
+compared with the key's nodes of other classes that share a bucket with them.  A stray that joins the largest
+class before its turn needs none.  No link between classes is lost within a bucket, and no pair within a
+class is formed.  Lost are pairs that share no bucket: (1 - s^ROWS)^BANDS of those of similarity s, 0.06 % at 0.8.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ IDF_BITS = 20
 RAREST = 2.0**-8
 #: Least and largest log2 of the cells of the sketch that tells common shingles; beyond, it only spares fewer comparisons.
 CELL_BITS = (16, 28)
-#: Hubs of a round are so many times those of the round before.
+#: Hubs of a round at one key are so many times those of the round before.
 MORE_HUBS = 64
 _BLOCK = 4096
 #: Draws of the samples come from a fixed pool of so many triples, picked by a hash of shingle and sample.
@@ -68,10 +72,15 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((found >> np.uint64(32)).astype(np.uint32), return_counts=True)
 
 
-def _weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Counts times IDF; of the sketch's two rows the one that names the shingle rarer."""
+def _rarity(keys: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """-ln of the share of documents; of the sketch's two rows the one that names the shingle rarer."""
     one, two = cells(keys.astype(np.uint64), IDF_BITS)
-    return counts * np.maximum(idf[0, one], idf[1, two])
+    return np.maximum(idf[0, one], idf[1, two])
+
+
+def _weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts times IDF, which is that of a share of RAREST at most."""
+    return counts * np.minimum(_rarity(keys, idf), np.float32(-np.log(RAREST)))
 
 
 def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -143,7 +152,7 @@ def idf_table(vectors: DataFrame) -> np.ndarray:
     noise = (counts.sum(axis=1, keepdims=True) - counts) / ((1 << IDF_BITS) - 1)
     share = (1 + np.maximum(counts - noise, 1.0)) / (1 + docs)
     # A lone document's shingles must weigh something.
-    return np.maximum(-np.log(np.maximum(share, RAREST)), 0.05).astype(np.float32)
+    return np.maximum(-np.log(share), 0.05).astype(np.float32)
 
 
 def _vectors(texts: DataFrame) -> DataFrame:
@@ -218,11 +227,10 @@ def components(edges: DataFrame, what: str = "classes") -> DataFrame:
         roots = new.select("node", "root")
 
 
-def _shares(one: DataFrame, idf) -> DataFrame:
-    """Of each node: reach, total and common weight.
+def _commons(one: DataFrame):
+    """The sketch that tells common shingles, as a broadcast, and its bits.
 
-    A shingle is common if it is estimated to occur in two or more of these nodes; estimates are never
-    too low, so two nodes share no more than the lesser of their common weights.
+    A shingle is common if it is estimated to occur in two or more of these nodes; estimates are never too low.
     """
     held = one.agg(F.coalesce(F.sum(F.length("vector") / 4), F.lit(0))).first()[0]
     bits = min(max(int(np.ceil(np.log2(max(2.0 * held, 2.0)))), CELL_BITS[0]), CELL_BITS[1])
@@ -241,7 +249,11 @@ def _shares(one: DataFrame, idf) -> DataFrame:
         if size:
             yield from sketch_rows(held, bits)
 
-    sent = one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), bits))
+    return one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), bits)), bits
+
+
+def _shares(one: DataFrame, idf, sent, bits: int) -> DataFrame:
+    """Of each node: reach, total and common weight; two nodes share no more than the lesser of their common weights."""
 
     @F.arrow_udf("total double, common double")
     def shares(vectors: pa.Array) -> pa.Array:
@@ -256,6 +268,34 @@ def _shares(one: DataFrame, idf) -> DataFrame:
     return one.select("node", "reach", shares("vector").alias("s")).select("node", "reach", "s.*")
 
 
+def _keys(open_: DataFrame, idf, sent, bits: int, floor: float) -> DataFrame:
+    """(node, root, total, key, rest): the shingles that may be the first that a node shares with a near one.
+
+    rest is the node's weight of common shingles from the key on, in an order in which rare shingles stand first; what
+    a near node shares from there on is all that the two share, so it is at least `floor` of the total.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i, x in enumerate(batch.column("vector").to_pylist()):
+                keys, counts = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
+                weights = _weights(keys, counts, idf.value).astype(np.float64)
+                common = np.flatnonzero(seen_twice(sent.value, keys.astype(np.uint64), bits))
+                common = common[np.lexsort((keys[common], -_rarity(keys[common], idf.value)))]
+                rest = weights[common][::-1].cumsum()[::-1]
+                may = rest >= floor * weights.sum()
+                n = int(may.sum())
+                held.append((np.full(n, i), np.full(n, weights.sum()), keys[common][may].astype(np.int64), rest[may]))
+                size += n
+                if size > FLUSH_CELLS or i + 1 == batch.num_rows:
+                    at, *rows = (pa.array(np.concatenate(c)) for c in zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("root").take(at), *rows], names=["node", "root", "total", "key", "rest"])
+                    held, size = [], 0
+
+    return open_.select("node", "root", "vector").mapInArrow(make, "node binary, root binary, total double, key long, rest double")
+
+
 def _moved(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
     """The rows with each named column's node replaced by its root, where it has one."""
     for i, c in enumerate(columns):
@@ -275,9 +315,11 @@ def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
     buckets = written(_buckets(vectors, idf).distinct(), "buckets")
     full = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(buckets.join(full, "band"), "shared")
-    reach = shared.groupBy("node").agg(F.sum(F.log("n")).alias("reach"))
+    # Whole numbers: their sum doesn't depend on the order of rows, so that reruns agree in their hubs.
+    reach = shared.groupBy("node").agg(F.sum(F.round(F.log("n") * (1 << 20)).cast("long")).alias("reach"))
     one = written(vectors.join(reach, "node").groupBy("node").agg(F.first("vector").alias("vector"), F.first("reach").alias("reach")), "wanted")
-    known = _shares(one, idf)
+    sent, bits = _commons(one)
+    known = _shares(one, idf, sent, bits)
     placed = written(shared.select("band", "node").join(known, "node"), "placed")
     hubs = written(placed.groupBy("band").agg(F.max(F.struct("reach", "node", "total", "common")).alias("hub"), F.min("total").alias("least")), "hubs", narrow=True)
     floor = threshold - 1e-6
@@ -292,20 +334,29 @@ def _linked(df: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame,
     able = F.col("common") / (F.col("total") + F.greatest(F.col("least") - F.col("common"), F.lit(0.0))) >= floor
     rows = _moved(rows.filter(able).withColumn("root", F.col("node")), roots[0], "root", "hub")
     stray = F.col("root") != F.col("hub")
-    counts = rows.filter(stray).groupBy("band").agg(F.count("*").alias("strays"))
-    # A stray's place among those of its bucket, in no particular order, says in which round it is a hub.
-    place = F.shiftrightunsigned(F.xxhash64("band", "node"), 11) / F.lit(float(1 << 53)) * F.col("strays")
+    rows = rows.select("band", "node", "root", "hub")
+    open_ = rows.join(rows.filter(stray).select("band").distinct(), "band", "left_semi").select("node", "root").distinct()
+    keyed = written(_keys(one.select("node", "vector").join(open_, "node"), idf, sent, bits, floor), "keys")
+    # At a key no partner is smaller than the smallest node or has more weight left than the one with the most.
+    best = written(keyed.groupBy("key").agg(F.min("total").alias("least"), F.max("rest").alias("most"), F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other"), "best", narrow=True)
+    keyed = keyed.join(best, "key").filter(possible(F.col("total"), F.col("rest"), F.col("least"), F.col("most"))).select("key", "node", "root", "total", "rest")
+    keyed = written(keyed, "keyed", narrow=True)
+    sizes = keyed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("first"), (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
+    rows = keyed.join(largest, "key").withColumn("hub", F.col("first.root"))
+    # A stray's place among those of its key, in no particular order, says in which round it is a hub.
+    place = F.shiftrightunsigned(F.xxhash64("key", "node"), 11) / F.lit(float(1 << 53)) * F.col("strays")
     turn = F.when(stray, F.floor(F.log(F.greatest(place, F.lit(1.0))) / F.log(F.lit(float(MORE_HUBS))) + 1e-9).cast("int"))
-    rows = rows.join(counts, "band").withColumn("turn", turn).select("band", "node", "root", "hub", "total", "common", "turn")
-    # A pair meets in the first of the buckets that it shares: one of two nodes of different classes is a stray there.
-    held = shared.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    rows = rows.withColumn("turn", turn).select("key", "node", "root", "hub", "total", "rest", "turn")
+    # Pairs are those that share a bucket.
+    held = shared.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("band").alias("bands"))
     rows = written(rows.join(held, "node"), "open-0", narrow=True)
     last = rows.agg(F.max("turn")).first()[0]
     for at in range(0 if last is None else last + 1):
         asked = rows.filter((F.col("turn") == at) & stray)
-        bands = asked.select("band").distinct()
-        a, b = asked.alias("a"), rows.join(bands, "band", "left_semi").filter((F.coalesce("turn", F.lit(at)) >= at) | ~stray).alias("b")
-        met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & possible(*[F.col(f"{s}.{c}") for s in "ab" for c in ("total", "common")]) & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")))
+        keys = asked.select("key").distinct()
+        a, b = asked.alias("a"), rows.join(keys, "key", "left_semi").filter((F.coalesce("turn", F.lit(at)) >= at) | ~stray).alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible(*[F.col(f"{s}.{c}") for s in "ab" for c in ("total", "rest")]) & F.arrays_overlap("a.bands", "b.bands"))
         pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         more = written(_near(pairs, one, idf, threshold), f"links-{at}", narrow=True)
         links = links.unionByName(more)
