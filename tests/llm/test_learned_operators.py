@@ -110,6 +110,18 @@ def test_near_duplicates_compare_few_of_many_strays(spark, monkeypatch):
     assert got == {r.doc_id: (r.class_id, r.n_links) for r in _near(spark, rows[::-1]).collect()}
 
 
+def test_near_pairs_take_one_worker_of_a_task(spark):
+    # Each Python step of a stage keeps a worker for each core of an executor, whose memory stays taken.
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    one = np.arange(10, dtype="<u4").tobytes()
+    vectors = frame([(b"a", one), (b"b", one), (b"c", one[:8])], "node binary, vector binary")
+    idf = spark.sparkContext.broadcast(np.ones((2, 1 << neardup.IDF_BITS), dtype=np.float32))
+    near = neardup._near(frame([(b"a", b"b"), (b"a", b"c"), (b"b", b"c")], "a binary, b binary"), vectors, idf, 0.8)
+    assert [(bytes(r.a), bytes(r.b), r.weighted) for r in near.collect()] == [(b"a", b"b", 1.0)]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:").startswith(("ArrowEvalPython", "MapInArrow")) for line in plan.splitlines()) == 1, plan
+
+
 def test_weighted_samples_agree_as_often_as_similarity(spark):
     rng = np.random.default_rng(2)
     keys = np.sort(rng.choice(2**32, 400, replace=False)).astype(np.uint32)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, merged_sketch, mix, seen_twice, sketch_rows, small_batches, table, text_key, written
+from .common import FLUSH_CELLS, SKETCH_SCHEMA, aside, batch_word_hashes, cells, grams, int64, lean, merged_sketch, mix, seen_twice, sketch_rows, small_batches, table, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -143,7 +143,7 @@ def idf_table(vectors: DataFrame) -> np.ndarray:
                 total += np.frombuffer(x, "<i4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
-    merged = vectors.select("vector").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    merged = vectors.select("vector").mapInArrow(lean(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     found = {r["block"]: np.frombuffer(r["counts"], "<i8") for r in merged.toLocalIterator()}
     if not found:
         return np.ones((2, 1 << IDF_BITS), dtype=np.float32)
@@ -164,7 +164,7 @@ def _vectors(texts: DataFrame) -> DataFrame:
             vectors = [np.repeat(*shingles(words[offsets[i] : offsets[i + 1]])).astype("<u4").tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(vectors, pa.binary())], names=["node", "vector"])
 
-    return texts.mapInArrow(make, "node binary, vector binary")
+    return texts.mapInArrow(lean(make), "node binary, vector binary")
 
 
 def _buckets(vectors: DataFrame, idf) -> DataFrame:
@@ -180,7 +180,7 @@ def _buckets(vectors: DataFrame, idf) -> DataFrame:
                     bands.append(int64(_bands(signature(keys, _weights(keys, counts, idf.value)))))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))], names=["node", "band"])
 
-    return vectors.mapInArrow(make, "node binary, band long")
+    return vectors.mapInArrow(lean(make), "node binary, band long")
 
 
 def _near(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
@@ -188,21 +188,24 @@ def _near(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFr
     left = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
     both = left.join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
 
-    @F.arrow_udf("double")
-    def compare(va: pa.Array, vb: pa.Array) -> pa.Array:
-        out, last = [], (None, None)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
 
         def vector(x: bytes) -> tuple[np.ndarray, np.ndarray]:
             keys, counts = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
             return keys, _weights(keys, counts, idf.value)
 
-        for x, y in zip(va.to_pylist(), vb.to_pylist(), strict=True):
-            if last[0] != y:
-                last = (y, vector(y))
-            out.append(weighted_jaccard(vector(x), last[1]))
-        return pa.array(out, pa.float64())
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)):
+                if last[0] != y:
+                    last = (y, vector(y))
+                out[i] = weighted_jaccard(vector(x), last[1])
+            near = pa.array(np.flatnonzero(out >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(near), batch.column("b").take(near), pa.array(out).take(near)], names=["a", "b", "weighted"])
 
-    return both.select("a", "b", compare("va", "vb").alias("weighted")).filter(F.col("weighted") >= threshold)
+    # Not a function in a filter: Spark would run it twice, in two Python workers of each task.
+    return both.mapInArrow(lean(compare), "a binary, b binary, weighted double")
 
 
 def components(edges: DataFrame, what: str = "classes") -> DataFrame:
@@ -249,7 +252,7 @@ def _commons(one: DataFrame):
         if size:
             yield from sketch_rows(held, bits)
 
-    return one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(count, SKETCH_SCHEMA), bits)), bits
+    return one.sparkSession.sparkContext.broadcast(merged_sketch(one.select("vector").mapInArrow(lean(count), SKETCH_SCHEMA), bits)), bits
 
 
 def _shares(one: DataFrame, idf, sent, bits: int) -> DataFrame:
@@ -293,7 +296,7 @@ def _keys(open_: DataFrame, idf, sent, bits: int, floor: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("root").take(at), *rows], names=["node", "root", "total", "key", "rest"])
                     held, size = [], 0
 
-    return open_.select("node", "root", "vector").mapInArrow(make, "node binary, root binary, total double, key long, rest double")
+    return open_.select("node", "root", "vector").mapInArrow(lean(make), "node binary, root binary, total double, key long, rest double")
 
 
 def _moved(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, fresh_path, named, small_batches, table
+from .common import aside, fresh_path, give_back, lean, named, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -187,7 +187,12 @@ def _segmented(path: str):
 
 
 def _joined(path: str, names: list[str]):
-    """Of one block: its documents and slabs, and the ids of its chunks; gives the documents with ids and decoded."""
+    """Of one block: its documents and slabs, and the ids of its chunks; gives the documents with ids and decoded, slab by slab."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        out = join(rows, found)
+        give_back()
+        return out
 
     def join(rows: pa.Table, found: pa.Table) -> pa.Table:
         own = pieces(path)
@@ -201,21 +206,21 @@ def _joined(path: str, names: list[str]):
         places = dict(zip(slabs.column("td_slab").to_pylist(), slabs.column("td_places").to_pylist(), strict=True))
         documents = rows.filter(pc.invert(is_slab)).sort_by([("td_slab", "ascending"), ("td_seq", "ascending")])
         slab_of, n_of = (documents.column(c).to_numpy() for c in ("td_slab", "td_n"))
-        sizes, values, texts = [], [], []
+        documents, done = documents.select(names), []
         for s in sorted(places):
-            place, n = _unpacked(places[s]), n_of[slab_of == s]
+            place, own_rows = _unpacked(places[s]), np.flatnonzero(slab_of == s)
+            n = n_of[own_rows]
             long = length[place]
             ends = np.cumsum(long)
             here = ids[np.repeat(start[place] - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)]
             edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-            texts += [own.decode(here[a:b].tolist()) if b > a else "" for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            sizes.append(np.diff(edges))
-            values.append(here.astype("<i4"))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-        return pa.table([*[documents.column(n) for n in names], lists, pa.array(texts, pa.string())], [*names, "td_ids", "td_decoded"])
+            texts = pa.array([own.decode(here[a:b].tolist()) if b > a else "" for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(here.astype("<i4")))
+            beside = documents.slice(int(own_rows[0]), len(own_rows)).combine_chunks()  # a slab has a document at least, and they are in order of slabs
+            done.append(pa.table([*beside.columns, lists, texts], [*names, "td_ids", "td_decoded"]))
+        return pa.concat_tables(done)
 
-    return join
+    return run
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -255,13 +260,13 @@ def encode_documents(df: DataFrame, path: str | None = None, text_col: str = "te
     # Files bucketed by block: the documents are joined where they lie.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at, name = fresh_path(spark, "blocks"), f"treedelta_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_blocks(BUCKETS_EACH * parts), whole).write.option("compression", "zstd").option("path", at).bucketBy(parts, "td_block").format("parquet").saveAsTable(name)
+    rows.mapInArrow(lean(_blocks(BUCKETS_EACH * parts)), whole).write.option("compression", "zstd").option("path", at).bucketBy(parts, "td_block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay in the shared folder
     documents = blocks.filter("td_bucket IS NULL").drop("td_bucket", "td_chunks")
     lists = blocks.filter("td_bucket IS NOT NULL").select("td_block", "td_bucket", "td_places", "td_chunks")
     by_bucket = lists.repartition("td_bucket").sortWithinPartitions("td_bucket")
-    found = by_bucket.mapInArrow(_segmented(path), "td_of long, td_at binary, td_counts binary, td_ids binary")
+    found = by_bucket.mapInArrow(lean(_segmented(path)), "td_of long, td_at binary, td_counts binary, td_ids binary")
     result = T.StructType([*kept, T.StructField("td_ids", T.ArrayType(T.IntegerType())), T.StructField("td_decoded", T.StringType())])
     done = documents.groupBy("td_block").cogroup(found.groupBy("td_of")).applyInArrow(_joined(path, [f.name for f in kept]), result)
     return done.select(*back, F.col("td_ids").alias("ids"), F.col("td_decoded").alias("decoded"))
