@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convtrie, forest, jpeg, licenses, mixing, neardup, pieces, quality, secrets, substrings, tokenfiles
+from . import alignment, convtrie, forest, jpeg, licenses, mixing, neardup, pieces, quality, secrets, substrings, tokenfiles
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nearest_neighbours": forest.op9,
     "op10_license_scans": licenses.op10,
     "op12_conversation_trie": convtrie.op12,
+    "op13_tokenizer_alignment": alignment.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
