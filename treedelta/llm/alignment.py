@@ -165,12 +165,12 @@ class _Block:
         yield pd.DataFrame({"td_block": self.number, **own_pairs})[times > 0].reindex(columns=COLUMNS).astype(object)
 
 
-def _blocks(path_a: str, path_b: str, digest: bool):
+def _blocks(path_a: str, path_b: str, digest: bool, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, block = aligner(path_a, path_b), _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for text, kept in zip(batch["td_text"], batch["td_kept"], strict=True):
-                if block.chars and block.chars + len(text or "") > BLOCK_CHARS:
+                if block.chars and block.chars + len(text or "") > most:
                     yield from block.rows(own, digest)
                     block = _Block(block.number + 1)
                 block.add(text, kept)
@@ -226,7 +226,7 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def align_documents(df: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
+def align_documents(df: DataFrame, path_a: str | None = None, path_b: str | None = None, text_col: str = "text", keep: list[str] | None = None, digest: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows with n_a, n_b, n_groups, n_links, groups, n_best, n_mutual and count_sum beside the columns named in keep (all, if not given).
 
     groups is `a1,a2|b1;a3|b2,b3` (digest: its SHA-256 in hex).  n_best counts the links whose pair has
@@ -245,7 +245,7 @@ def align_documents(df: DataFrame, path_a: str | None = None, path_b: str | None
     long = ", ".join(f"{c} long" for c in COUNTS[:-1])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at, name = fresh_path(spark, "chunks"), f"treedelta_chunks_{uuid.uuid4().hex}"
-    made = rows.mapInPandas(_blocks(path_a, path_b, digest), f"td_block long, td_seq long, td_places binary, {long}, groups string, td_a long, td_b long, td_times long, td_kept string")
+    made = rows.mapInPandas(_blocks(path_a, path_b, digest, block_chars), f"td_block long, td_seq long, td_places binary, {long}, groups string, td_a long, td_b long, td_times long, td_kept string")
     made.write.option("compression", "zstd").option("path", at).bucketBy(parts, "td_block").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay in the shared folder

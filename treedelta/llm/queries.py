@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, convtrie, forest, jpeg, licenses, mixing, neardup, pieces, quality, secrets, substrings, tokenfiles
+from . import alignment, convtrie, forest, jpeg, licenses, mixing, neardup, pieces, quality, secrets, substrings, suffixes, tokenfiles
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": tokenfiles.op8,
     "op9_nearest_neighbours": forest.op9,
     "op10_license_scans": licenses.op10,
+    "op11_suffix_dedup": suffixes.op11,
     "op12_conversation_trie": convtrie.op12,
     "op13_tokenizer_alignment": alignment.op13,
 }
