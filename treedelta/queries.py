@@ -484,3 +484,5 @@ def languages(spark, sf_dir):
 
     del sf_dir
     return spark.createDataFrame([(n, level, list(e)) for n, level, e in known()], "language string, level string, extensions array<string>")
+
+from . import plan_queries as _plans  # noqa: E402,F401  registers its queries
