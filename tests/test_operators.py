@@ -113,6 +113,54 @@ def test_correlation_agrees_with_brute_force(spark):
     assert {(m.from_file, m.to_file) for m in correlate(edit_actions(diff_pairs(rows))).collect()} == want and want
 
 
+def test_many_equal_files_make_as_many_moves(spark):
+    """Equal files meet by their place: never all of one side with all of the other, whatever the order of arrival."""
+    n, text = 50_000, "same words here"
+    rows = spark.range(2 * n).select(F.col("id").alias("pair_id"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".txt")).alias("old_path"), F.when(F.col("id") % 2 == 0, text).otherwise("").alias("old_source"), F.when(F.col("id") % 2 == 1, text).otherwise("").alias("new_source"))
+    moves = correlate(edit_actions(diff_pairs(rows.withColumn("new_path", F.col("old_path")).repartition(5))))
+    number = lambda c: F.substring(c, 2, 8).cast("long")
+    assert moves.agg(F.count("*"), F.count_if(number("from_file") + 1 == number("to_file")), F.count_if("modified")).collect()[0] == (n, n, 0)
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    import random
+
+    from treedelta.plans.ranks import ranked
+
+    rng = random.Random(6)
+    rows = [(rng.choice("aaaab"), rng.random(), i) for i in range(3000)]
+    found = {r["i"]: r["rank"] for r in ranked(spark.createDataFrame(rows, "k string, x double, i long"), ["k"], ["x", "i"]).collect()}
+    for key in "ab":
+        assert [found[i] for _, i in sorted((x, i) for k, x, i in rows if k == key)] == list(range(1, sum(k == key for k, _, _ in rows) + 1))
+
+
+def test_settled_is_what_choosing_in_turn_gives(spark):
+    """Rounds of asking against one pass in order, with offers of several places and equal scores."""
+    import random
+
+    from treedelta.operators.correlate import settled
+
+    rng = random.Random(8)
+    for room in (1, 3):
+        rooms = {o: rng.randint(1, room) for o in range(25)}
+        wishes = {(a, o): rng.choice([0.6, 0.7, 0.8, 0.9]) for a in range(60) for o in rng.sample(range(25), rng.randint(0, 6))}
+        left, want = dict(rooms), set()
+        for a in range(60):
+            able = [(-s, o) for (x, o), s in wishes.items() if x == a and left[o]]
+            if able:
+                want.add((a, min(able)[1]))
+                left[min(able)[1]] -= 1
+        rows = spark.createDataFrame([(a, o, s, o, rooms[o]) for (a, o), s in wishes.items()], "asks long, offer long, score double, first long, room long")
+        assert {(r["asks"], r["offer"]) for r in settled(rows).collect()} == want
+
+
+def test_files_on_both_sides_do_not_meet_themselves(spark):
+    part = "def check(value):\n    return value\n"
+    rows = pairs(spark, ("a.py", "a.py", "x = 1\n" + part, "x = 1\ny = 2\nz = 3\n"), ("b.py", "b.py", "y = 1\n", "y = 1\n" + part), ("c.py", "c.py", "y = 1\n" + part, "y = 1\n"))
+    moves = [(m.from_file, m.to_file) for m in correlate(edit_actions(diff_pairs(rows))).filter("name = 'check'").collect()]
+    assert moves == [("a.py", "b.py")]
+
+
 def test_two_snapshot_corpus(spark):
     old = {f"config/c{i}.json": json.dumps({"name": f"c{i}", "port": 1000 + i}) for i in range(30)}
     old |= {f"docs/d{i}.md": f"# title {i}\nline one {i}\nline two" for i in range(20)} | {f"notes/n{i}.txt": f"first words {i} and more" for i in range(10)}

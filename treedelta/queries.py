@@ -126,7 +126,17 @@ def snapshot_narration(spark, sf_dir):
     return narrate(edit_actions(diff_pairs(snapshot_pairs(spark, sf_dir)))).select("file_path", "seq", "action", "description", llm_line().alias("line"))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS ({OLD_SQL}), n AS ({NEW_SQL}),
+d AS (SELECT path, text, row_number() OVER (PARTITION BY md5(text) ORDER BY path) AS k FROM o WHERE text <> '' AND path NOT IN (SELECT path FROM n WHERE text <> '')),
+c AS (SELECT path, text, row_number() OVER (PARTITION BY md5(text) ORDER BY path) AS k FROM n WHERE text <> '' AND path NOT IN (SELECT path FROM o WHERE text <> '')),
+x AS (SELECT d.path AS from_file, c.path AS to_file FROM d JOIN c ON d.text = c.text AND d.k = c.k),
+u AS (SELECT path, row_number() OVER (ORDER BY path) AS r, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda y: y <> '')) AS t FROM d WHERE path NOT IN (SELECT from_file FROM x)),
+v AS (SELECT path, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda y: y <> '')) AS t FROM c WHERE path NOT IN (SELECT to_file FROM x)),
+e AS (SELECT u.path AS f, u.r, v.path AS t, len(list_intersect(u.t, v.t)) / (len(u.t) + len(v.t) - len(list_intersect(u.t, v.t))) AS s FROM u JOIN v ON least(len(u.t), len(v.t)) >= 0.6 * greatest(len(u.t), len(v.t)) AND len(v.t) > 0),
+w AS (SELECT f, row_number() OVER (ORDER BY r) AS k, list({{'s': s, 't': t}} ORDER BY s DESC, t) AS l FROM e WHERE s >= 0.6 GROUP BY f, r),
+g AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS f, CAST(NULL AS STRUCT(s DOUBLE, t VARCHAR)) AS b
+ UNION ALL SELECT w.k, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.t) END, w.f, list_filter(w.l, lambda y: NOT list_contains(CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.t) END, y.t))[1] FROM g JOIN w ON w.k = g.k + 1)
+SELECT 'file' AS kind, to_file AS name, from_file, to_file, false AS modified, 1.0::DOUBLE AS similarity FROM x UNION ALL SELECT 'file', b.t, f, b.t, b.s < 1, b.s FROM g WHERE b IS NOT NULL""")
 def snapshot_moves(spark, sf_dir):
     """Files and named nodes that moved between files."""
     return correlate(edit_actions(diff_pairs(snapshot_pairs(spark, sf_dir))))
