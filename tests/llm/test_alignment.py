@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -87,8 +88,8 @@ def test_columns_that_clash_and_large_ids(spark):
 
 
 def test_merge_of_ends():
-    groups, links = alignment.merge([2, 5, 6], [1, 2, 3, 6])
-    assert groups == [(1, 2), (3, 4)] and links == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 3)]
+    i, j, cut = alignment.merge(np.array([2, 5, 6]), np.array([1, 2, 3, 6]))
+    assert list(zip(i, j, strict=True)) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 3)] and cut.tolist() == [False, True, False, False, True]
 
 
 def test_query_on_the_table(spark, data):

@@ -20,6 +20,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,21 +44,16 @@ CHUNK = re.compile(r"[ \n]+[^ \n]*|[^ \n]+")
 Chunk = tuple[int, int, int, str, bytes]
 
 
-def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(groups, links) of two ascending lists of token ends over the same bytes.
+def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cut) of each step of a two-pointer merge of two ascending arrays of token ends over the same bytes.
 
-    A group is (tokens of A, tokens of B) up to and with an end that both share; a link is a pair of
-    positions whose byte ranges overlap.  Two pointers: the token that ends first steps on.
+    At each step the tokens i and j overlap, so every step is a link and every link one step; the
+    token that ends first steps on, or both do, and that is a cut between groups.
     """
-    groups, links, i, j = [], [], 0, 0
-    while i < len(ends_a):
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append((i, j))
-    return groups, links
+    ends = np.union1d(ends_a, ends_b)
+    before = np.concatenate([ends[:1] * 0, ends[:-1]])
+    i, j = np.searchsorted(ends_a, before, side="right"), np.searchsorted(ends_b, before, side="right")
+    return i, j, ends_a[i] == ends_b[j]
 
 
 def _byte_values() -> dict[str, int]:
@@ -77,32 +73,60 @@ class Aligner:
         self.a.encode_special_tokens = True
         values = _byte_values()
         self.bytes_a = {i: bytes(values[c] for c in t) if all(c in values for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.sizes_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.sizes_b = np.array([len(x or b"") for x in self.b.spelled], np.int64)
+        ids = range(max(len(self.sizes_a), len(self.sizes_b)))
+        self.texts = np.array([[f"{i}{mark}" for i in ids] for mark in ",|;\n"], dtype=object)
         self.known: dict[str, Chunk] = {}
 
-    def _chunk(self, chunk: str, ids_a: list[int], ids_b: list[int]) -> Chunk:
-        spelled_a = [self.bytes_a[i] for i in ids_a]
-        spelled_b = [self.b.spelled[i] for i in ids_b]
-        whole = chunk.encode()
-        if None in spelled_b or b"".join(spelled_a) != whole or b"".join(spelled_b) != whole:
-            return (-1, 0, 0, "", b"")
-        groups, links = merge(np.cumsum([len(x) for x in spelled_a]).tolist(), np.cumsum([len(x) for x in spelled_b]).tolist())
-        texts, i, j = [], 0, 0
-        for p, q in groups:
-            texts.append(",".join(map(str, ids_a[i:p])) + "|" + ",".join(map(str, ids_b[j:q])))
-            i, j = p, q
-        return (len(ids_a), len(ids_b), len(groups), ";".join(texts), np.array([ids_a[i] << 32 | ids_b[j] for i, j in links], dtype=np.uint64).tobytes())
+    def _right(self, chunks: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """The tokens of both sides spell the chunk."""
+        spell = (lambda x: b"".join(map(self.bytes_a.__getitem__, x)), lambda x: b"".join([self.b.spelled[i] or b"" for i in x]))
+        return [f(x) == c.encode() == g(y) for f, g in [spell] for c, x, y in zip(chunks, ids_a, ids_b, strict=True)]
+
+    def _made(self, chunks: list[str]) -> dict[str, Chunk]:
+        """All chunks at once: their bytes stand one after another, and a chunk's end is an end on both sides."""
+        ids_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        ids_b = self.b.segment([c.replace(" ", MARK) for c in chunks])
+        right = self._right(chunks, ids_a, ids_b)
+        made = {c: (-1, 0, 0, "", b"") for c, good in zip(chunks, right, strict=True) if not good}
+        if made:
+            chunks, ids_a, ids_b = ([x for x, good in zip(y, right, strict=True) if good] for y in (chunks, ids_a, ids_b))
+        if not chunks:
+            return made
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(chunks)) for x in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+        i, j, cut = merge(ends_a, ends_b)
+        links = ((flat_a[i] << 32) | flat_b[j]).astype(np.uint64).tobytes()
+        last_a, last_b = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
+        done = np.searchsorted(i, last_a, side="right")  # steps up to each chunk's end
+        groups = np.diff(np.cumsum(cut)[done - 1], prepend=0)
+        # The groups' tokens in the order of their text, each with the mark that follows it.
+        group_a, group_b = i[cut] + 1, j[cut] + 1
+        of_a, of_b = np.arange(len(flat_a)), np.arange(len(flat_b))
+        before_b = np.concatenate([[0], group_b])
+        text = np.empty(len(flat_a) + len(flat_b), dtype=object)
+        mark_a, mark_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        mark_a[group_a - 1], mark_b[group_b - 1] = 1, 2
+        mark_b[last_b] = 3
+        text[of_a + before_b[np.searchsorted(group_a, of_a, side="right")]] = self.texts[mark_a, flat_a]
+        text[of_b + group_a[np.searchsorted(group_b, of_b, side="right")]] = self.texts[mark_b, flat_b]
+        texts = "".join(text.tolist()).split("\n")
+        at = [0, *(8 * done).tolist()]
+        rows = zip(chunks, n_a.tolist(), n_b.tolist(), groups.tolist(), texts, at[:-1], at[1:], strict=False)
+        made.update((c, (x, y, g, t, links[p:q])) for c, x, y, g, t, p, q in rows)
+        return made
 
     def of(self, chunks: list[str]) -> list[Chunk]:
         """What is known of these distinct chunks."""
         if len(self.known) > TABLE_CHUNKS:
             self.known = {}
         new = [c for c in chunks if c not in self.known]
-        made = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids_a = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
-            ids_b = self.b.segment([c.replace(" ", MARK) for c in part])
-            made |= {c: self._chunk(c, x, y) for c, x, y in zip(part, ids_a, ids_b, strict=True)}
+        made: dict[str, Chunk] = {}
+        for at in range(0, len(new), 16384):
+            made |= self._made(new[at : at + 16384])
         self.known |= {c: x for c, x in made.items() if len(c) <= LONG_CHUNK}
         return [made[c] if c in made else self.known[c] for c in chunks]
 
