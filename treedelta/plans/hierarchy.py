@@ -2,36 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
-def ancestry(nodes: DataFrame) -> DataFrame:
-    """pair_id, node_id, depth and ancestor of each node, nearest first, the root included.
+#: Two primes below 2**31, and a base for each.
+_MODULI = ((2147483629, 1103515245), (2147483587, 1664525))
+_BITS = 31
+
+
+def ancestor_ids(nodes: DataFrame) -> DataFrame:
+    """pair_id, node_id, ancestor and depth (1: the parent) of each node's ancestors, by pointer doubling.
 
-    Ancestors of i are the nodes above it whose ids - size + 1 to id hold i; a range join within the pair.
+    nodes has pair_id, node_id and parent_id (null or negative for roots).  A round joins the rows that
+    reach farthest with what their ancestors know, so k rounds reach 2**k levels up; each is
+    written to the shared folder, and the plan has one part for each round.
     """
-    a, b = nodes.alias("a"), nodes.alias("b")
-    inside = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("b.node_id") > F.col("a.node_id")) & (F.col("b.node_id") - F.col("b.subtree_size") < F.col("a.node_id"))
-    pairs = a.join(b, inside).select(F.col("a.pair_id").alias("pair_id"), F.col("a.node_id").alias("node_id"), F.col("b.node_id").alias("ancestor"), F.col("b.subtree_size").alias("size"), F.col("b.kind").alias("kind"), F.col("b.label").alias("label"))
-    from pyspark.sql import Window
+    known = written(nodes.filter("parent_id >= 0").select("pair_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    far, reach = known, 1
+    while True:
+        above = known.select("pair_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("td_next"), F.col("depth").alias("td_more"))
+        found = written(far.join(above, ["pair_id", "ancestor"]).select("pair_id", "node_id", F.col("td_next").alias("ancestor"), (F.col("depth") + F.col("td_more")).alias("depth")), "ancestors")
+        if found.isEmpty():
+            return known
+        reach *= 2
+        known, far = known.unionByName(found), found.filter(F.col("depth") == reach)
+
+
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """pair_id, node_id, depth and ancestor of each node, nearest first, the root included, with the ancestor's kind and label."""
+    faces = nodes.select("pair_id", F.col("node_id").alias("ancestor"), "kind", "label")
+    return ancestor_ids(nodes).join(faces, ["pair_id", "ancestor"]).select("pair_id", "node_id", "depth", "ancestor", "kind", "label")
 
-    near = Window.partitionBy("pair_id", "node_id").orderBy("size")
-    return pairs.select("pair_id", "node_id", F.row_number().over(near).alias("depth"), "ancestor", "kind", "label")
 
+def _power(base: int, modulus: int, exponent: Column) -> Column:
+    """base ** exponent, by the exponent's bits."""
+    squares = reduce(lambda done, _: [*done, done[-1] ** 2 % modulus], range(_BITS - 1), [base % modulus])
+    step = lambda out, k: out * F.when(exponent.bitwiseAND(1 << k) != 0, F.lit(squares[k])).otherwise(F.lit(1)) % modulus
+    return reduce(step, range(_BITS), F.lit(1).cast("long"))
 
-def subtree_hashes(nodes: DataFrame, levels: int) -> DataFrame:
-    """Content hashes of all nodes by one join per level of height; nodes has pair_id, node_id, parent_id, pos, height, kind, label and value."""
-    nothing = F.array().cast("array<bigint>")
+
+def subtree_hashes(nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """pair_id, node_id, hash (of kinds, labels, values and shape) and structure (of kinds and shape) of each node's subtree; 62 bits.
+
+    In postorder a subtree is a run of ids, told by the sizes and faces in it, so its hash is a
+    difference of prefix sums of face * base ** id, divided by base ** first id: one window for each pair
+    and one join, however deep the trees.  nodes has pair_id, node_id (counting from 0 in a pair), subtree_size, kind,
+    label and value; levels isn't needed.
+    """
+    del levels
     mark = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-"))
-    done = None
-    for h in range(1, levels + 1):
-        own = nodes.filter(F.col("height") == h)
-        if done is None:
-            kids = own.withColumn("kids", nothing)
-        else:
-            below = done.groupBy("pair_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda s: s["hash"]).alias("kids"))
-            kids = own.join(below, ["pair_id", "node_id"], "left").withColumn("kids", F.coalesce("kids", nothing))
-        hashed = kids.withColumn("hash", F.xxhash64("kind", mark("label"), mark("value"), "kids")).select("pair_id", "node_id", "parent_id", "pos", "hash")
-        done = hashed if done is None else done.unionByName(hashed)
-    return done.select("pair_id", "node_id", "hash")
+    faces = {"hash": F.xxhash64("kind", mark("label"), mark("value"), "subtree_size"), "structure": F.xxhash64("kind", "subtree_size")}
+    upto = Window.partitionBy("pair_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {f"td_{name}{k}": F.pmod(face, F.lit(p)) * _power(base, p, F.col("node_id")) % p for name, face in faces.items() for k, (p, base) in enumerate(_MODULI)}
+    base = nodes.select("pair_id", "node_id", "subtree_size", *[c.alias(n) for n, c in parts.items()])
+    sums = base.select("pair_id", "node_id", "subtree_size", *[F.sum(n).over(upto).alias(n) for n in parts])
+    before = sums.select("pair_id", F.col("node_id").alias("td_before"), *[F.col(n).alias(f"{n}_b") for n in parts])
+    both = sums.withColumn("td_before", F.col("node_id") - F.col("subtree_size")).join(before, ["pair_id", "td_before"], "left")
+
+    def whole(name: str) -> Column:
+        one, two = (F.pmod(F.col(f"td_{name}{k}") - F.coalesce(f"td_{name}{k}_b", F.lit(0)), F.lit(p)) * _power(pow(base, -1, p), p, F.col("td_before") + 1) % p for k, (p, base) in enumerate(_MODULI))
+        return F.shiftleft(one, 31).bitwiseOR(two).alias(name)
+
+    return both.select("pair_id", "node_id", whole("hash"), whole("structure"))
+
+
+def with_heights(nodes: DataFrame) -> DataFrame:
+    """The rows with height: 1 for leaves, else one more than the highest child's."""
+    deepest = ancestor_ids(nodes).groupBy("pair_id", F.col("ancestor").alias("node_id")).agg((F.max("depth") + 1).alias("height"))
+    return nodes.join(deepest, ["pair_id", "node_id"], "left").withColumn("height", F.coalesce("height", F.lit(1)))

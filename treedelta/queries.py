@@ -54,7 +54,8 @@ _TIER_SQL = f"CASE WHEN {_EXT_SQL} = 'png' THEN 0 WHEN {_EXT_SQL} IN ('json', 'y
 _ROUTE_SQL = f"CASE WHEN old_source = '' AND new_source <> '' THEN 'insert' WHEN new_source = '' AND old_source <> '' THEN 'delete' WHEN old_source = new_source THEN 'same' ELSE list_extract(['binary', 'raw', 'prose', 'markup', 'data', 'code'], {_TIER_SQL} + 1) END"
 
 
-def _path() -> F.Column:
+def path_of() -> F.Column:
+    """The path of a document."""
     exts = F.array(*[F.lit(e) for e in EXTENSIONS])
     return F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(exts, (F.expr("doc_id div 10") % 10 + 1).cast("int")))
 
@@ -63,8 +64,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The old and the new snapshot: doc_id, source, path, text."""
     docs = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 10
-    old = docs.filter(kind != 1).select("doc_id", "source", _path().alias("path"), "text")
-    path = F.when(kind == 4, F.concat(F.lit("moved/"), _path())).otherwise(_path())
+    old = docs.filter(kind != 1).select("doc_id", "source", path_of().alias("path"), "text")
+    path = F.when(kind == 4, F.concat(F.lit("moved/"), path_of())).otherwise(path_of())
     text = F.when(kind == 2, F.replace("text", F.lit("e"), F.lit("E"))).when(kind == 3, F.concat("text", F.lit("\nappended line"))).otherwise(F.col("text"))
     return old, docs.filter(kind != 0).select("doc_id", "source", path.alias("path"), text.alias("text"))
 
@@ -77,9 +78,12 @@ def snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_snapshots(old, new, "path", "text")
 
 
-@query(f"WITH d AS (SELECT {_PATH_SQL} AS path FROM documents) SELECT {_EXT_SQL} AS extension, CAST({_TIER_SQL} AS INTEGER) AS tier, {_EXT_SQL} = 'png' AS is_binary, count(*) AS n FROM d GROUP BY ALL")
+PATH_TIERS_SQL = f"WITH d AS (SELECT {_PATH_SQL} AS path FROM documents) SELECT {_EXT_SQL} AS extension, CAST({_TIER_SQL} AS INTEGER) AS tier, {_EXT_SQL} = 'png' AS is_binary, count(*) AS n FROM d GROUP BY ALL"
+
+
+@query(PATH_TIERS_SQL)
 def classify_paths(spark, sf_dir):
-    paths = table(spark, sf_dir, "documents").select(_path().alias("path"))
+    paths = table(spark, sf_dir, "documents").select(path_of().alias("path"))
     ext = R.extension(F.col("path"))
     return paths.groupBy(ext.alias("extension"), R.tier(F.col("path")).cast("int").alias("tier"), R.is_binary_extension(ext).alias("is_binary")).agg(F.count("*").alias("n"))
 
@@ -279,7 +283,9 @@ def line_diff_stats(spark, sf_dir):
     return lines.select("doc_id", F.size("a").cast("long").alias("old_n"), F.size("b").cast("long").alias("new_n"), head.cast("long").alias("head"), tail.cast("long").alias("tail"))
 
 
-@query()
+@query(f"""WITH {_EDITED_SQL}, m AS (SELECT doc_id, len(b) AS n, (1::HUGEINT << len(b)) - 1 AS every,
+  list_transform(a, lambda x: list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN b[j] = x THEN 1::HUGEINT << CAST(j - 1 AS INTEGER) ELSE 0::HUGEINT END)), lambda u, v: u | v)) AS masks FROM e)
+SELECT doc_id, CAST(n - bit_count(list_reduce(list_prepend(every, masks), lambda r, k: ((r + (r & k)) | (r - (r & k))) & every)) AS INTEGER) AS lcs FROM m""")
 def line_lcs_length(spark, sf_dir):
     lines = _edited(spark, sf_dir).select("doc_id", F.split("old_text", "\n").alias("a"), F.split("new_text", "\n").alias("b"))
     return lines.select("doc_id", lcs_length("a", "b").alias("lcs"))
@@ -374,7 +380,11 @@ def ancestry_chain(spark, sf_dir):
     )
     postorder = Window.partitionBy("rk").orderBy("nk", "ck")
     sizes = F.when(F.col("kind") == "customer", 1).when(F.col("kind") == "nation", F.count("*").over(Window.partitionBy("rk", "nk"))).otherwise(F.count("*").over(Window.partitionBy("rk")))
-    nodes = rows.select(F.col("rk").cast("long").alias("pair_id"), F.row_number().over(postorder).alias("node_id"), sizes.alias("subtree_size"), "kind", "label", "ck")
+    nodes = rows.select(F.col("rk").cast("long").alias("pair_id"), F.row_number().over(postorder).alias("node_id"), sizes.alias("subtree_size"), "kind", "label", "ck", "nk", "rk")
+    # In postorder the last of a nation is the nation, the last of a region the region.
+    last = lambda *keys: F.max("node_id").over(Window.partitionBy(*keys))
+    up = F.when(F.col("kind") == "customer", last("rk", "nk")).when(F.col("kind") == "nation", last("rk")).otherwise(F.lit(-1))
+    nodes = nodes.withColumn("parent_id", up).drop("nk", "rk")
     chain = ancestry(nodes).groupBy("pair_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", F.concat_ws(" ", "kind", "label").alias("name")))), lambda s: s["name"]), " < ").alias("chain"))
     return nodes.filter("kind = 'customer'").join(chain, ["pair_id", "node_id"]).select(F.col("ck").alias("c_custkey"), "kind", "chain")
 
@@ -447,10 +457,13 @@ _SUBJECT_SQL = f"concat({_HUMAN_SQL}, ' `', coalesce(label, value), '`')"
 _IN_SQL = "concat(' in class body `C', u % 3, '`')"
 
 
-@query(f"""WITH {_ACTIONS_SQL.replace("event_type AS now", "event_type AS now, user_id AS u")}
+NARRATED_SQL = f"""WITH {_ACTIONS_SQL.replace("event_type AS now", "event_type AS now, user_id AS u")}
 SELECT seq, CASE action WHEN 'Insert' THEN concat('added ', {_SUBJECT_SQL}, {_IN_SQL}) WHEN 'Delete' THEN concat('removed ', {_SUBJECT_SQL}, replace({_IN_SQL}, ' in ', ' from '))
  WHEN 'Move' THEN concat('moved ', {_SUBJECT_SQL}, ' to position ', seq % 7 + 1, {_IN_SQL})
- ELSE CASE WHEN seq % 3 = 0 THEN concat('renamed ', {_HUMAN_SQL}, ' `', was, '` to `', now, '`', {_IN_SQL}) ELSE concat('changed ', CASE WHEN label IS NULL THEN {_HUMAN_SQL} ELSE concat('value of ', {_HUMAN_SQL}, ' `', label, '`') END, ' from `', was, '` to `', now, '`', {_IN_SQL}) END END AS description FROM a""")
+ ELSE CASE WHEN seq % 3 = 0 THEN concat('renamed ', {_HUMAN_SQL}, ' `', was, '` to `', now, '`', {_IN_SQL}) ELSE concat('changed ', CASE WHEN label IS NULL THEN {_HUMAN_SQL} ELSE concat('value of ', {_HUMAN_SQL}, ' `', label, '`') END, ' from `', was, '` to `', now, '`', {_IN_SQL}) END END AS description FROM a"""
+
+
+@query(NARRATED_SQL)
 def narrate_rows(spark, sf_dir):
     return event_actions(spark, sf_dir).select("seq", description().alias("description"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .adapters.prose import diff_words as words
+from .functions.sql_language import register_sql_functions
 from .kernel.pair import CODE, DATA, MARKUP, diff_text, parse_tree
 from .kernel.script import Diff
 from .kernel.sequence import diff_lines as lines
@@ -67,16 +67,7 @@ class ParseTree:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the table functions, and jaccard_tokens(a, b), known to SQL."""
+    """Make the table functions, and the scalar functions written in SQL, known to SQL."""
     for name, cls, kind in (("diff_lines", DiffLines, _HUNK), ("diff_words", DiffWords, _HUNK), ("diff_json", DiffJson, _ACTION), ("diff_markup", DiffMarkup, _ACTION), ("parse_tree", ParseTree, "node_id int, parent_id int, kind string, label string, value string")):
         spark.udtf.register(name, F.udtf(cls, returnType=kind))
-
-    @F.pandas_udf("double")
-    def jaccard_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
-        import re
-
-        tokens = lambda t: set(re.findall("[a-z0-9_]+", (t or "").lower()))
-        pairs = [(tokens(x), tokens(y)) for x, y in zip(a, b, strict=True)]
-        return pd.Series([len(x & y) / len(x | y) if x | y else 0.0 for x, y in pairs])
-
-    spark.udf.register("jaccard_tokens", jaccard_tokens)
+    register_sql_functions(spark)
