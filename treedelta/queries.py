@@ -252,15 +252,19 @@ def markup_tag_counts(spark, sf_dir):
     return nodes.groupBy(F.col("pair_id").alias("page_id"), F.col("kind").alias("tag")).agg(F.count("*").alias("n"))
 
 
-def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, and the same with another first heading."""
     path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html"))
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("pair_id"), path.alias("old_path"), path.alias("new_path"), F.col("html").alias("old_source"), F.regexp_replace("html", "<h1>[^<]*</h1>", "<h1>edited</h1>").alias("new_source"))
 
 
-@query()
+EDITED_PAGES_SQL = """SELECT page_id, 'Update' AS action, 'h1' AS kind, nullif(h, '') AS from_value, 'edited' AS to_value FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages) WHERE h <> 'edited'"""
+
+
+@query(EDITED_PAGES_SQL)
 def markup_diff(spark, sf_dir):
     """Actions of pages whose first heading was edited."""
-    return edit_actions(diff_pairs(_page_pairs(spark, sf_dir))).select(F.col("pair_id").alias("page_id"), "action", F.col("node.kind").alias("kind"), F.col("detail.from").alias("from_value"), F.col("detail.to").alias("to_value"))
+    return edit_actions(diff_pairs(page_pairs(spark, sf_dir))).select(F.col("pair_id").alias("page_id"), "action", F.col("node.kind").alias("kind"), F.col("detail.from").alias("from_value"), F.col("detail.to").alias("to_value"))
 
 
 # --- lines, words and paragraphs ---
