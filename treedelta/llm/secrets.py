@@ -250,9 +250,10 @@ def op1(spark, sf_dir) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[count(k).alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS if k != "random"],
         F.sha2(F.array_join(F.transform(base, label), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("secrets", label), ",").alias("spans"),
+        count("random").alias("n_random"),
     )
 
 
