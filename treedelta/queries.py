@@ -12,7 +12,7 @@ from .functions import text as X
 from .operators import rows as row_ops
 from .operators.correlate import correlate
 from .operators.diff import diff_pairs, edit_actions, routed
-from .operators.narrate import description, narrate
+from .operators.narrate import description, drop_redundant_updates, narrate
 from .operators.render import llm_line
 from .operators.sequences import increasing_length, lcs_length, line_hunks, line_ops, parse, trimmed, word_hunks
 from .operators.summarize import action_counts, summarize, summary_by
@@ -60,14 +60,17 @@ def path_of() -> F.Column:
     return F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(exts, (F.expr("doc_id div 10") % 10 + 1).cast("int")))
 
 
+def _new_text(kind: F.Column) -> F.Column:
+    return F.when(kind == 2, F.replace("text", F.lit("e"), F.lit("E"))).when(kind == 3, F.concat("text", F.lit("\nappended line"))).otherwise(F.col("text"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The old and the new snapshot: doc_id, source, path, text."""
     docs = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 10
     old = docs.filter(kind != 1).select("doc_id", "source", path_of().alias("path"), "text")
     path = F.when(kind == 4, F.concat(F.lit("moved/"), path_of())).otherwise(path_of())
-    text = F.when(kind == 2, F.replace("text", F.lit("e"), F.lit("E"))).when(kind == 3, F.concat("text", F.lit("\nappended line"))).otherwise(F.col("text"))
-    return old, docs.filter(kind != 0).select("doc_id", "source", path.alias("path"), text.alias("text"))
+    return old, docs.filter(kind != 0).select("doc_id", "source", path.alias("path"), _new_text(kind).alias("text"))
 
 
 def snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +123,7 @@ def binary_diff(spark, sf_dir):
 @query()
 def snapshot_diff_summary(spark, sf_dir):
     """The flagship: two snapshots, all tiers, counts of actions by tier and source directory."""
-    changes = narrate(edit_actions(diff_pairs(snapshot_pairs(spark, sf_dir))))
+    changes = drop_redundant_updates(edit_actions(diff_pairs(snapshot_pairs(spark, sf_dir))))
     return action_counts(changes.withColumn("directory", F.substring_index("file_path", "/", 1)), "directory", "tier").orderBy("directory", "tier")
 
 
@@ -271,8 +274,9 @@ def markup_diff(spark, sf_dir):
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = snapshots(spark, sf_dir)
-    return old.select("doc_id", F.col("text").alias("old_text")).join(new.select("doc_id", F.col("text").alias("new_text")), "doc_id")
+    """Both texts of the documents that both snapshots have, from one scan."""
+    kind = F.col("doc_id") % 10
+    return table(spark, sf_dir, "documents").filter(~kind.isin(0, 1)).select("doc_id", F.col("text").alias("old_text"), _new_text(kind).alias("new_text"))
 
 
 _EDITED_SQL = f"o AS ({OLD_SQL}), n AS ({NEW_SQL}), e AS (SELECT o.doc_id, string_split(o.text, chr(10)) AS a, string_split(n.text, chr(10)) AS b FROM o JOIN n ON o.doc_id = n.doc_id)"
@@ -316,7 +320,8 @@ def word_tokens(spark, sf_dir):
 
 @query(f"WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}) SELECT o.doc_id, o.text <> n.text AS has_hunks FROM o JOIN n ON o.doc_id = n.doc_id")
 def word_diff_hunks(spark, sf_dir):
-    return _edited(spark, sf_dir).select("doc_id", (F.size(word_hunks("old_text", "new_text")) > 0).alias("has_hunks"))
+    differ = lambda c: F.when(~F.col("old_text").eqNullSafe(F.col("new_text")), F.col(c))  # noqa: E731  equal texts don't go to Python
+    return _edited(spark, sf_dir).select("doc_id", (F.size(word_hunks(differ("old_text"), differ("new_text"))) > 0).alias("has_hunks"))
 
 
 @query()
@@ -339,9 +344,9 @@ def paragraphs(spark, sf_dir):
 g AS (SELECT k, min(path) AS from_file FROM gone GROUP BY k HAVING count(*) = 1), c AS (SELECT k, min(path) AS to_file FROM come GROUP BY k HAVING count(*) = 1) SELECT from_file, to_file FROM g JOIN c USING (k)""")
 def exact_moves(spark, sf_dir):
     """Files whose text has one deletion and one insertion: moves that no order decides."""
-    actions = edit_actions(diff_pairs(snapshot_pairs(spark, sf_dir))).filter("node.kind = 'file'")
-    side = lambda a, name: actions.filter(F.col("action") == a).groupBy(F.md5(F.col("node.value").cast("binary")).alias("k")).agg(F.count("*").alias("n"), F.min("file_path").alias(name)).filter("n = 1").drop("n")
-    return side("Delete", "from_file").join(side("Insert", "to_file"), "k").select("from_file", "to_file")
+    whole = routed(snapshot_pairs(spark, sf_dir)).filter("route IN ('insert', 'delete')").select("route", "file_path", F.md5(F.when(F.col("route") == "insert", F.col("new_source")).otherwise(F.col("old_source")).cast("binary")).alias("k"))
+    side = lambda way, name: whole.filter(F.col("route") == way).groupBy("k").agg(F.count("*").alias("n"), F.min("file_path").alias(name)).filter("n = 1").drop("n")
+    return side("delete", "from_file").join(side("insert", "to_file"), "k").select("from_file", "to_file")
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS t FROM benchmark)
@@ -474,8 +479,6 @@ def narrate_rows(spark, sf_dir):
 
 @query(f"""WITH {_ACTIONS_SQL}, u AS (SELECT seq, row_number() OVER (PARTITION BY file, was, now ORDER BY label IS NULL, seq) AS place FROM a WHERE action = 'Update') SELECT seq FROM u WHERE place = 1 UNION ALL SELECT seq FROM a WHERE action <> 'Update'""")
 def dedup_updates(spark, sf_dir):
-    from .operators.narrate import drop_redundant_updates
-
     return drop_redundant_updates(event_actions(spark, sf_dir)).select("seq")
 
 
