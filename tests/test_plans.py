@@ -8,6 +8,7 @@ import pytest
 from treedelta.adapters.data import parse_data
 from treedelta.adapters.markup import parse_markup
 from treedelta.kernel.tree import Tree
+from treedelta.plans import hierarchy
 from treedelta.plans.hierarchy import ancestor_ids, ancestry, subtree_hashes, with_heights
 from treedelta.plans.json_trees import json_trees
 from treedelta.plans.markup_trees import markup_trees
@@ -134,3 +135,17 @@ def test_functions_of_sql_are_inlined(spark, data):
     df = spark.sql("SELECT path, classify(path) AS tier FROM td_names")
     assert {tuple(r) for r in df.collect()} == {tuple(r) for r in rows.select("path", R.tier(rows.path)).collect()}
     assert "Python" not in plan_of(df) and "Python" not in plan_of(spark.sql("SELECT jaccard_tokens(path, 'a') FROM td_names"))
+
+
+def chains(spark, pairs, length):
+    return spark.createDataFrame([(p, i, i + 1 if i + 1 < length else -1, i + 1, "x", None, None) for p in range(pairs) for i in range(length)], "pair_id long, node_id int, parent_id int, subtree_size int, kind string, label string, value string")
+
+
+def test_ancestors_keep_one_row_a_node_and_are_never_broadcast(spark, monkeypatch):
+    """Files of ids are tiny however many rows they hold, so their size must not send them to the driver."""
+    seen, real = [], hierarchy.written
+    monkeypatch.setattr(hierarchy, "written", lambda df, what: (seen.append(df), real(df, what))[1])
+    found = ancestor_ids(chains(spark, 20, 9)).collect()
+    assert sorted((r.pair_id, r.node_id, r.ancestor, r.depth) for r in found) == sorted((p, i, i + k, k) for p in range(20) for i in range(9) for k in range(1, 9 - i))
+    assert all("Broadcast" not in plan_of(df) and df.count() == 180 for df in seen)
+    assert "Broadcast" not in plan_of(subtree_hashes(real(chains(spark, 20, 9), "nodes")))

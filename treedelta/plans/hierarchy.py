@@ -8,34 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .barrier import large
 
 #: Two primes below 2**31, and a base for each.
 _MODULI = ((2147483629, 1103515245), (2147483587, 1664525))
 _BITS = 31
 
 
-def ancestor_ids(nodes: DataFrame) -> DataFrame:
-    """pair_id, node_id, ancestor and depth (1: the parent) of each node's ancestors, by pointer doubling.
+def ancestor_chains(nodes: DataFrame, first: Column) -> DataFrame:
+    """pair_id, node_id and chain: the arrays `first` of each node and its ancestors, nearest first, joined to one, by pointer doubling.
 
-    nodes has pair_id, node_id and parent_id (null or negative for roots).  A round joins the rows that
-    reach farthest with what their ancestors know, so k rounds reach 2**k levels up; each is
-    written to the shared folder, and the plan has one part for each round.
+    nodes has pair_id, node_id and parent_id (null or negative for roots).  A round appends to each
+    node's array that of the node where it ends, so k rounds reach 2**k levels up; a node stays one row,
+    and each round is written to the shared folder.
     """
-    known = written(nodes.filter("parent_id >= 0").select("pair_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
-    far, reach = known, 1
-    while True:
-        above = known.select("pair_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("td_next"), F.col("depth").alias("td_more"))
-        found = written(far.join(above, ["pair_id", "ancestor"]).select("pair_id", "node_id", F.col("td_next").alias("ancestor"), (F.col("depth") + F.col("td_more")).alias("depth")), "ancestors")
-        if found.isEmpty():
-            return known
-        reach *= 2
-        known, far = known.unionByName(found), found.filter(F.col("depth") == reach)
+    known = written(nodes.select("pair_id", "node_id", F.when(F.col("parent_id") >= 0, F.col("parent_id")).alias("td_next"), first.alias("chain")), "ancestors")
+    while not known.filter("td_next IS NOT NULL").isEmpty():
+        above = known.select("pair_id", F.col("node_id").alias("td_next"), F.col("td_next").alias("td_far"), F.col("chain").alias("td_more"))
+        longer = F.when(F.col("td_more").isNull(), F.col("chain")).otherwise(F.concat("chain", "td_more"))
+        known = written(known.join(large(above), ["pair_id", "td_next"], "left").select("pair_id", "node_id", F.col("td_far").alias("td_next"), longer.alias("chain")), "ancestors")
+    return known.drop("td_next")
+
+
+def ancestor_ids(nodes: DataFrame) -> DataFrame:
+    """pair_id, node_id, ancestor and depth (1: the parent) of each node's ancestors; nodes as in ancestor_chains."""
+    parent = F.col("parent_id")
+    found = ancestor_chains(nodes, F.when(parent >= 0, F.array(parent)).otherwise(F.slice(F.array(parent), 1, 0)))
+    return found.select("pair_id", "node_id", F.posexplode("chain").alias("td_at", "ancestor")).select("pair_id", "node_id", "ancestor", (F.col("td_at") + 1).alias("depth"))
 
 
 def ancestry(nodes: DataFrame) -> DataFrame:
     """pair_id, node_id, depth and ancestor of each node, nearest first, the root included, with the ancestor's kind and label."""
     faces = nodes.select("pair_id", F.col("node_id").alias("ancestor"), "kind", "label")
-    return ancestor_ids(nodes).join(faces, ["pair_id", "ancestor"]).select("pair_id", "node_id", "depth", "ancestor", "kind", "label")
+    return ancestor_ids(nodes).join(large(faces), ["pair_id", "ancestor"]).select("pair_id", "node_id", "depth", "ancestor", "kind", "label")
 
 
 def _power(base: int, modulus: int, exponent: Column) -> Column:
@@ -61,7 +66,7 @@ def subtree_hashes(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     base = nodes.select("pair_id", "node_id", "subtree_size", *[c.alias(n) for n, c in parts.items()])
     sums = base.select("pair_id", "node_id", "subtree_size", *[F.sum(n).over(upto).alias(n) for n in parts])
     before = sums.select("pair_id", F.col("node_id").alias("td_before"), *[F.col(n).alias(f"{n}_b") for n in parts])
-    both = sums.withColumn("td_before", F.col("node_id") - F.col("subtree_size")).join(before, ["pair_id", "td_before"], "left")
+    both = sums.withColumn("td_before", F.col("node_id") - F.col("subtree_size")).join(large(before), ["pair_id", "td_before"], "left")
 
     def whole(name: str) -> Column:
         one, two = (F.pmod(F.col(f"td_{name}{k}") - F.coalesce(f"td_{name}{k}_b", F.lit(0)), F.lit(p)) * _power(pow(base, -1, p), p, F.col("td_before") + 1) % p for k, (p, base) in enumerate(_MODULI))
@@ -73,4 +78,4 @@ def subtree_hashes(nodes: DataFrame, levels: int | None = None) -> DataFrame:
 def with_heights(nodes: DataFrame) -> DataFrame:
     """The rows with height: 1 for leaves, else one more than the highest child's."""
     deepest = ancestor_ids(nodes).groupBy("pair_id", F.col("ancestor").alias("node_id")).agg((F.max("depth") + 1).alias("height"))
-    return nodes.join(deepest, ["pair_id", "node_id"], "left").withColumn("height", F.coalesce("height", F.lit(1)))
+    return nodes.join(large(deepest), ["pair_id", "node_id"], "left").withColumn("height", F.coalesce("height", F.lit(1)))
