@@ -8,7 +8,7 @@ import pytest
 from treedelta.adapters.data import parse_data
 from treedelta.adapters.markup import parse_markup
 from treedelta.kernel.tree import Tree
-from treedelta.plans import hierarchy
+from treedelta.plans import hierarchy, matching
 from treedelta.plans.hierarchy import ancestor_ids, ancestry, subtree_hashes, with_heights
 from treedelta.plans.json_trees import json_trees
 from treedelta.plans.markup_trees import markup_trees
@@ -149,3 +149,10 @@ def test_ancestors_keep_one_row_a_node_and_are_never_broadcast(spark, monkeypatc
     assert sorted((r.pair_id, r.node_id, r.ancestor, r.depth) for r in found) == sorted((p, i, i + k, k) for p in range(20) for i in range(9) for k in range(1, 9 - i))
     assert all("Broadcast" not in plan_of(df) and df.count() == 180 for df in seen)
     assert "Broadcast" not in plan_of(subtree_hashes(real(chains(spark, 20, 9), "nodes")))
+
+
+def test_matching_never_broadcasts_nodes_or_links(spark):
+    old, new = (hierarchy.written(chains(spark, 3, 5).selectExpr("*", "0 AS pos", "CAST(1 AS long) AS hash"), "nodes") for _ in "ab")
+    links = hierarchy.written(old.selectExpr("pair_id", "node_id AS old_id", "node_id AS new_id"), "links")
+    for df in (matching._free(old, links, "old"), matching._by_place(old, new, ["hash"]), matching.edit_rows(old, new, links)):
+        assert "Broadcast" not in plan_of(df)

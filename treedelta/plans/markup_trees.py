@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .barrier import large
+
 #: The name of a tag or an attribute, white space, and elements without content.
 NAME = "[a-zA-Z][a-zA-Z0-9-]*"
 SPACE = r"\s\x1c-\x1f"
@@ -77,13 +79,13 @@ def markup_trees(texts: DataFrame, id_col: str, source_col: str) -> DataFrame:
     total = F.count_if("element").over(Window.partitionBy("pair_id"))
     standing = matched.filter("stands").withColumn("total", total)
     ends = matched.filter("opens").select("pair_id", "at", F.col("end").alias("td_end"))
-    elements = standing.filter("element").join(ends, ["pair_id", "at"], "left")
+    elements = standing.filter("element").join(large(ends), ["pair_id", "at"], "left")
     size = F.when(F.col("open"), F.coalesce("td_end", "total") - F.col("elements")).otherwise(1)
     siblings = Window.partitionBy("pair_id", "up").orderBy("at")
     nodes = elements.select("pair_id", "at", "up", (F.col("inside") + 1).alias("deep"), (F.col("elements") + 1).alias("rank"), size.cast("int").alias("subtree_size"), (F.row_number().over(siblings) - 1).alias("pos"), F.col("tag").alias("kind"), _label(F.col("token")).alias("label"))
     root = texts.select(F.col(f"`{id_col}`").cast("long").alias("pair_id"), F.col(f"`{source_col}`").alias("td_text")).filter("td_text IS NOT NULL").drop("td_text")
     counts = elements.groupBy("pair_id").agg(F.count("*").alias("n"))
-    top = root.join(counts, "pair_id", "left").select("pair_id", F.lit(-1).alias("at"), F.lit(-2).alias("up"), F.lit(0).alias("deep"), F.lit(0).cast("long").alias("rank"), (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("subtree_size"), F.lit(0).alias("pos"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("label"))
+    top = root.join(large(counts), "pair_id", "left").select("pair_id", F.lit(-1).alias("at"), F.lit(-2).alias("up"), F.lit(0).alias("deep"), F.lit(0).cast("long").alias("rank"), (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("subtree_size"), F.lit(0).alias("pos"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("label"))
     both = nodes.unionByName(top)
     # The element's own text, from where text or, before any child, white space begins.
     inner = standing.filter("NOT close").groupBy("pair_id", F.col("up").alias("at")).agg(
@@ -94,8 +96,8 @@ def markup_trees(texts: DataFrame, id_col: str, source_col: str) -> DataFrame:
     )
     start = F.least("word", F.when(F.col("child").isNull() | (F.col("first") < F.col("child")), F.col("first")))
     own = inner.withColumn("start", start).select("pair_id", "at", F.when(F.col("start").isNotNull(), F.array_join(F.filter("parts", lambda p: p["at"] >= F.col("start"))["token"], "")).alias("value"))
-    valued = both.join(own, ["pair_id", "at"], "left")
+    valued = both.join(large(own), ["pair_id", "at"], "left")
     ids = valued.withColumn("node_id", (F.col("rank") + F.col("subtree_size") - 1 - F.col("deep")).cast("int"))
     parents = ids.select("pair_id", F.col("at").alias("up"), F.col("node_id").alias("td_parent"))
-    joined = ids.join(parents, ["pair_id", "up"], "left")
+    joined = ids.join(large(parents), ["pair_id", "up"], "left")
     return joined.select("pair_id", "node_id", F.coalesce("td_parent", F.lit(-1)).alias("parent_id"), "pos", "subtree_size", F.col("deep").alias("depth"), "kind", "label", "value")
