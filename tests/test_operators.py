@@ -284,3 +284,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path / "a"), str(tmp_path / "b"), "--llm"]) == 0
     assert "~ leaf port < object root 1 -> 2" in capsys.readouterr().out
     assert main(["languages"]) == 0 and main([str(tmp_path / "a"), str(tmp_path / "a" / "c.json")]) == 1
+
+
+def test_parse_deals_small_texts_over_tasks(spark):
+    """A table of small texts in one file was one task's work."""
+    from treedelta.functions import routing
+    from treedelta.operators.sequences import parse
+
+    one = spark.createDataFrame([(i, f'{{"k": {i}}}') for i in range(500)] + [(500, "[1,"), (501, None)], "pair_id long, t string").coalesce(1)
+    found = parse(one, "t", routing.DATA)
+    assert found.rdd.getNumPartitions() > 1
+    assert sorted((r.pair_id, r.value) for r in found.filter("kind = 'leaf' AND label = 'k'").collect()) == [(i, str(i)) for i in range(500)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,22 +73,41 @@ def trimmed(old: Column, new: Column) -> tuple[Column, Column]:
     return head, run(F.reverse(old), F.reverse(new), n - head)
 
 
+#: Texts, or nodes, of one Arrow batch that parse gives back.
+BATCH_TEXTS, BATCH_NODES = 2_000, 20_000
+
+
 def parse(df: DataFrame, text_col: str, tier: int, id_col: str = "pair_id", extension: str = "") -> DataFrame:
-    """One row per node of each text's tree, in postorder; texts that can't be parsed have none."""
+    """One row per node of each text's tree, in postorder; texts that can't be parsed have none.
+
+    Texts are dealt over all tasks first, since small texts come in files that are one task's work.
+    """
     schema = pa.schema([("pair_id", pa.int64()), *TREE_NODE])
 
+    def batch_of(keys: list, found: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(found[f.name], f.type) for f in TREE_NODE]], schema=schema)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, n = [], {f.name: [] for f in TREE_NODE}, 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     columns = Tree(parse_tree(text or "", tier, extension)).columns()
                 except Exception:  # noqa: BLE001, S112 - no tree, no rows
                     continue
-                n = len(columns["node_id"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, dtype=np.int64)) if key is not None else pa.nulls(n, pa.int64()), *[pa.array(columns[f.name], f.type) for f in TREE_NODE]], schema=schema)
+                n += 1
+                keys += [key] * len(columns["node_id"])
+                for name, values in found.items():
+                    values += columns[name]
+                if n >= BATCH_TEXTS or len(keys) >= BATCH_NODES:
+                    yield batch_of(keys, found)
+                    keys, found, n = [], {f.name: [] for f in TREE_NODE}, 0
+        if keys:
+            yield batch_of(keys, found)
 
     rows = df.select(F.col(id_col).cast("long").alias("pair_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(make, T.StructType([T.StructField("pair_id", T.LongType()), *spark_type(TREE_NODE).fields]))
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id", F.xxhash64("text"))
+    return dealt.mapInArrow(make, T.StructType([T.StructField("pair_id", T.LongType()), *spark_type(TREE_NODE).fields]))
 
 
 def reordered(siblings: DataFrame) -> DataFrame:
