@@ -295,3 +295,13 @@ def test_parse_deals_small_texts_over_tasks(spark):
     found = parse(one, "t", routing.DATA)
     assert found.rdd.getNumPartitions() > 1
     assert sorted((r.pair_id, r.value) for r in found.filter("kind = 'leaf' AND label = 'k'").collect()) == [(i, str(i)) for i in range(500)]
+
+
+def test_preceding_reaches_over_salts(spark):
+    """One key with all rows is many groups; a null key and null values count as any other."""
+    from treedelta.plans.ranks import preceding
+
+    rows = [(s, i, None if i % 7 == 0 else f"{s}{i}") for s in ("a", None) for i in range(0, 90, 3)]
+    df = preceding(spark.createDataFrame(rows, "s string, i long, t string").repartition(3), ["s"], ["i"], "t", "was")
+    want = [(s, i, t, None if i == 0 else (None if (i - 3) % 7 == 0 else f"{s}{i - 3}")) for s, i, t in rows]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
