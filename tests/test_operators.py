@@ -305,3 +305,11 @@ def test_preceding_reaches_over_salts(spark):
     df = preceding(spark.createDataFrame(rows, "s string, i long, t string").repartition(3), ["s"], ["i"], "t", "was")
     want = [(s, i, t, None if i == 0 else (None if (i - 3) % 7 == 0 else f"{s}{i - 3}")) for s, i, t in rows]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
+def test_whole_files_need_no_python(spark, data):
+    from treedelta.queries import snapshot_added_removed
+
+    df = snapshot_added_removed(spark, data)
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+    assert {r.action for r in df.select("action").distinct().collect()} == {"Insert", "Delete"}
