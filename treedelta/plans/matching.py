@@ -17,8 +17,6 @@ from ..session import fresh_path, written
 from .barrier import large
 from .hierarchy import ancestor_ids, subtree_hashes
 
-#: Candidates of a container that are looked at.
-MOST_CANDIDATES = 4
 _LINK = "pair_id long, old_id int, new_id int"
 
 
@@ -95,11 +93,9 @@ def _topdown(old: DataFrame, new: DataFrame, links: _Links, min_height: int) ->
 
 
 def _wishes(counts: DataFrame, old: DataFrame, new: DataFrame, ratio: float) -> DataFrame:
-    """What containers ask for: of the MOST_CANDIDATES with the most common descendants those alike enough, or any for a root."""
-    most = Window.partitionBy("pair_id", "old_id").orderBy(F.desc("common"), "new_id")
-    few = counts.withColumn("td_n", F.row_number().over(most)).filter(F.col("td_n") <= MOST_CANDIDATES)
+    """What containers ask for: of all with common descendants those alike enough, or any for a root."""
     size = lambda rows, side: rows.select("pair_id", F.col("node_id").alias(f"{side}_id"), F.col("subtree_size").alias(f"{side}_size"), F.col("parent_id").alias(f"{side}_up"))
-    both = few.join(large(size(old, "old")), ["pair_id", "old_id"]).join(large(size(new, "new")), ["pair_id", "new_id"])
+    both = counts.join(large(size(old, "old")), ["pair_id", "old_id"]).join(large(size(new, "new")), ["pair_id", "new_id"])
     dice = 2 * F.col("common") / (F.col("old_size") + F.col("new_size") - 2)
     whole = lambda c: F.shiftleft("pair_id", 31).bitwiseOR(F.col(c).cast("long"))
     return both.withColumn("score", dice).filter((F.col("score") >= ratio) | (F.col("old_up") < 0)).select(whole("old_id").alias("asks"), whole("new_id").alias("offer"), "score", F.col("new_id").alias("first"), F.lit(1).alias("room"))
@@ -140,10 +136,12 @@ def _leaves(old: DataFrame, new: DataFrame, links: _Links) -> None:
 
 
 def _lone_containers(old: DataFrame, new: DataFrame, links: _Links) -> None:
-    """Link unmatched nodes with children whose kind and structure no other unmatched node of either tree has."""
-    keys = ["pair_id", "kind", "structure"]
-    one = lambda rows, side: links.free(rows.filter("subtree_size > 1"), side).groupBy(*keys).agg(F.count("*").alias("n"), F.min("node_id").alias(f"{side}_id")).filter("n = 1").drop("n")
-    links.add(written(one(old, "old").join(large(one(new, "new")), keys), "lone"))
+    """Link unmatched nodes with children by kind and structure, the k-th with the k-th: first below partners, then anywhere."""
+    inner = lambda rows, side: links.free(rows.filter("subtree_size > 1"), side)
+    parents = links.all().select("pair_id", F.col("old_id").alias("parent_id"), F.col("new_id").alias("td_under"))
+    under = inner(old, "old").join(large(parents), ["pair_id", "parent_id"])
+    links.add(written(_by_place(under, inner(new, "new").withColumn("td_under", F.col("parent_id")), ["td_under", "kind", "structure"]), "lone"))
+    links.add(written(_by_place(inner(old, "old"), inner(new, "new"), ["kind", "structure"]), "lone"))
 
 
 def match_nodes(old: DataFrame, new: DataFrame, min_height: int = 2, ratio: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
