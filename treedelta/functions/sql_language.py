@@ -20,7 +20,7 @@ def _extension(path: str) -> str:
 
 
 def _tokens(text: str) -> str:
-    return f"array_distinct(filter(split(lower({text}), '[^a-zA-Z0-9_]+'), x -> x <> ''))"
+    return rf"array_distinct(filter(split(lower({text}), r'\W+'), x -> x <> ''))"
 
 
 def _human(kind: str) -> str:
@@ -55,8 +55,9 @@ FUNCTIONS = (
         "jaccard_tokens",
         "a STRING, b STRING",
         "DOUBLE",
-        f"""(SELECT IF(size(u) > 0, size(array_intersect(x, y)) / size(u), 0D)
-          FROM (SELECT x, y, array_union(x, y) AS u FROM (SELECT {_tokens("coalesce(a, '')")} AS x, {_tokens("coalesce(b, '')")} AS y)))""",
+        # Lambdas bind the tokens and what is common, so that neither text is taken apart again where they are used.
+        f"""get(transform(array(struct({_tokens("coalesce(a, '')")} AS x, {_tokens("coalesce(b, '')")} AS y)),
+          p -> get(transform(array(size(array_intersect(p.x, p.y))), n -> IF(size(p.x) + size(p.y) > 0, n / (size(p.x) + size(p.y) - n), 0D)), 0)), 0)""",
     ),
     ("humanize_kind", "kind STRING", "STRING", _human("kind")),
     (
